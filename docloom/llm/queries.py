@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.boilerplate import main_text, page_lines
+from docloom.llm.leaks import find_leaks
 from docloom.tables import table
 
 
@@ -22,5 +23,13 @@ def p4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(web_pages(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_main_text": p4_main_text}
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p4_found": p4_found, "p4_main_text": p4_main_text}
 SQL: dict[str, str] = {}
