@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.boilerplate import main_text, page_lines
 from docloom.llm.leaks import find_leaks
+from docloom.llm.quality import text_statistics
 from docloom.tables import table
 
 
@@ -31,5 +32,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p4_found": p4_found, "p4_main_text": p4_main_text}
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_statistics(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_statistics(spark, sf_dir).where("prose_share < 0.5").select("doc_id").distinct()
+
+
+QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics, "p7_found": p7_found, "p7_leaks": p7_leaks, "p4_found": p4_found, "p4_main_text": p4_main_text}
 SQL: dict[str, str] = {}
