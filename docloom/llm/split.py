@@ -77,15 +77,16 @@ def split_text(text: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
     while True:
         length = (size + (count - 1) * overlap) / count
         reach = max((max_size - length) / 2, max_size / 8)
-        pieces, start = [], 0
+        pieces, start, last = [], 0, 0
         for k in range(1, count):
             target = k * (length - overlap) + overlap
             high = min(start + max_size, int(target + reach), size - 1)
-            low = max(start + overlap + 1, int(target - reach))
+            low = max(last + 1, start + min(overlap, max_size // 4) + 1, int(target - reach))
             cut = _strongest(at, strength, low, high, target) if low <= high else None
             if cut is None:
-                cut = _whole(text, max(start + 1, min(int(target), start + max_size)), start)
+                cut = _whole(text, min(max(last + 1, int(target)), start + max_size), last)
             pieces.append((start, cut))
+            last = cut
             back = _strongest(at, np.minimum(strength, 4), max(cut - overlap, start + 1), cut - 1, cut - overlap) if overlap else cut
             if back is None:
                 back = max(cut - overlap, start + 1)
@@ -93,7 +94,7 @@ def split_text(text: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
                     back += 1
             start = back
         pieces.append((start, size))
-        if pieces[-1][1] - pieces[-1][0] <= max_size and all(a < b for a, b in pieces):
+        if size - start <= max_size and last < size and all(a < b for a, b in pieces):
             return pieces
         count += 1
         if count > size:  # cuts one by one always satisfy the limits
