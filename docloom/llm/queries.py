@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.boilerplate import main_text, page_lines
 from docloom.llm.leaks import find_leaks
+from docloom.llm.names import author_clusters, spelling_pairs
 from docloom.llm.packing import pack_documents
 from docloom.llm.quality import text_statistics
 from docloom.llm.split import split_oversized
@@ -88,7 +89,17 @@ def p6_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("utilisation", F.col("tokens") / F.col("containers") / F.element_at(capacity, F.col("used_for")))
 
 
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return author_clusters(table(spark, sf_dir, "candidates").select(F.explode("authors").alias("text")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_pairs(p1_clusters(spark, sf_dir))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p6_containers": p6_containers,
