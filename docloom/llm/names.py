@@ -25,14 +25,15 @@ from docloom.tables import materialize
 
 # Bylines that name nobody, titles and suffixes, particles of family names, legal forms.
 NOBODY = "staff|editorial desk|editor|editors|editorial|editorial team|editorial staff|admin|administrator|newsroom|news desk|team|the team|redaktion|redacción|rédaction|unknown|anonymous|n/a|none|guest|guest author|webmaster|author|various|press office|research desk|markets desk|contributor|staff writer".split("|")
-TITLES = set("dr prof professor mr mrs ms sir dame phd cfa frm msc mba md bsc dphil jr sr ii iii iv esq cpa caia fca dipl ing herr frau m mme".split()) - {"m"}
+TITLES = set("dr prof professor phd cfa frm msc mba bsc dphil jr sr ii iii iv esq cpa caia fca dipl ing".split())
+ADDRESS = set("mr mrs ms sir dame herr frau mme".split())
 PARTICLES = set("van von der den de la di da del della du le ten ter zu zur dos das el al bin".split())
 LEGAL = set("gmbh ltd llc inc ag sa plc bv nv kg corp co limited spa srl pty llp".split())
 ORG_TYPES = set("institute inst laboratory laboratories lab labs department dept association assoc foundation fdn group grp partners ptnrs partnership university univ college centre center school society council committee bank fund company corporation consortium agency office bureau academy".split())
 ORG_WORDS = ORG_TYPES | set("research res analytics anal economics econ strategy strat strategies trading trad investment investments inv market markets mkt mkts macro derivatives deriv quantitative quant financial fin finance commodity commodities comm portfolio portf systematic syst capital management asset of the and for".split())
 # Given names and their everyday short forms.
 NICKNAMES = """
-abigail abby abbie gail|alexander alex al sandy xander|alexandra alex sandra sandy|amanda mandy|andrew andy drew|anthony tony|
+abigail abby abbie gail|alexander alex al sandy xander sasha|alexandra alex sandra sandy sasha lexi|amanda mandy|andrew andy drew|anthony tony|
 barbara barb babs|benjamin ben benny benji|catherine cathy kate katie cat|charles charlie chuck chas|christina chris tina|
 christopher chris kit|cynthia cindy|daniel dan danny|david dave davy|deborah deb debbie|donald don|dorothy dot|edward ed eddie ned ted teddy|
 elizabeth liz beth betty lizzie eliza betsy bess|eugene gene|frances fran|francis frank|frederick fred freddie|gabriel gabe|gerald gerry jerry|
@@ -55,23 +56,24 @@ def nickname_table() -> dict[str, list[str]]:
     """Full given names of each short form."""
     table: dict[str, list[str]] = {}
     for entry in NICKNAMES.replace("\n", "").split("|"):
-        full, *short = entry.split()
+        full, *short = map(fold, entry.split())
         for nick in short:
             table.setdefault(nick, []).append(full)
     return table
 
 
 def fold(text: str) -> str:
-    """Lower-case letters without marks; ae, oe and ue count as the vowel they stand for."""
+    """Lower-case letters without marks."""
     text = text.lower().replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("ł", "l").replace("đ", "d").replace("ı", "i")
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return re.sub(r"([aou])e", r"\1", re.sub(r"[^\w]|_", "", text))
+    return re.sub(r"[^\w]|_", "", text)
 
 
 def parse_name(text: str) -> dict | None:
     """The parts of one spelling, or None where it names nobody. ``fixed`` is False where the order of names is open."""
     s = " ".join(unicodedata.normalize("NFKC", text).split())
     s = re.sub(r"^by ", "", s, flags=re.I)
+    s = re.sub(r"\b((?:van|von|der|den|de|la|di|da|del)+)(?=[A-ZÀ-Þ])", lambda m: "van " if m[1].islower() else m[0], s)
     if m := re.match(r"^\S+@\S+ ?[(<\[](.+)[)>\]]$", s):
         s = m[1]
     s = re.sub(r"<?\S+@\S+>?", "", s)
@@ -80,7 +82,7 @@ def parse_name(text: str) -> dict | None:
         return None
     words = [w for w in re.split(r"[\s,]+", s) if w]
     bare = [re.sub(r"[^\w]", "", w).lower() for w in words]
-    if sum(b in ORG_TYPES or b in LEGAL for b in bare) or sum(b in ORG_WORDS for b in bare) >= 2:
+    if sum(b in ORG_TYPES or (b in LEGAL and len(b) > 2) for b in bare) or sum(b in ORG_WORDS for b in bare) >= 2:
         kept = [w for w, b in zip(words, bare, strict=True) if b and b not in LEGAL and b not in ("the", "of", "and", "for")]
         low = [re.sub(r"[^\w]", "", w).lower() for w in kept]
         if not kept:
@@ -90,7 +92,8 @@ def parse_name(text: str) -> dict | None:
         fields = [w for k, w in enumerate(low) if k != at and w not in ORG_TYPES]
         return {"kind": "org", "fixed": True, "given": [], "family": [fold(kept[at])], "initials": [w[0] for w in fields[:2]], "hyphen": False, "tokens": [fold(w) for w in kept]}
     out = {"kind": "person", "fixed": True, "given": [], "family": [], "initials": [], "hyphen": False, "tokens": []}
-    clean = lambda t: [w for w in t.split() if re.sub(r"[^\w]", "", w).lower() not in TITLES]
+    plain = lambda w: re.sub(r"[^\w]", "", w).lower()
+    clean = lambda t: [w for k, w in enumerate(t.split()) if plain(w) not in TITLES and not (k == 0 and plain(w) in ADDRESS and t.count(" ") > 1)]
     pieces = [p for p in (clean(x) for x in s.split(",")) if p]
     if not pieces:
         return None
@@ -255,27 +258,42 @@ def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd
 
 
 def _deletions(word: str) -> list[str]:
+    """The word and what remains of it without each of its letters."""
     return list({word, *(word[:k] + word[k + 1 :] for k in range(len(word)))})
 
 
-def similar_words(words: DataFrame, similarity: float = 0.45, recall: float = 0.99, verify: float = 0.8, largest: int = 200) -> DataFrame:
+def error_similarity(length: int, q: int = Q) -> float:
+    """Jaccard similarity of the padded q-grams of a word of ``length`` letters and itself with two letters exchanged, the
+    typing error that costs most q-grams."""
+    grams = length + q - 1
+    return max(grams - q - 1, 0) / (grams + q + 1)
+
+
+def similar_words(words: DataFrame, recall: float = 0.99, verify: float = 0.8, shortest: int = 6, largest: int = 200) -> DataFrame:
     """Pairs (kind, a, b) of distinct words one typing error apart, a the one of less weight.
 
-    ``words``: kind, word, weight. Buckets of up to ``largest`` words are joined; the words of larger ones are compared
-    by what remains when one letter is left out, which finds every pair one edit apart and costs each word its length.
+    ``words``: kind, word, weight. Words of ``shortest`` letters or more are banded, each length with as many bands as the
+    collision curve asks for ``recall`` at its error_similarity. Words up to that length, whose q-grams an error changes
+    nearly all, and the words of buckets above ``largest`` are compared by what remains when one letter is left out, which
+    finds every pair one edit apart and costs each word its length.
     """
-    bands = bands_for(similarity, recall)
+    bands_of = {length: bands_for(error_similarity(length), recall) for length in range(shortest, 25)}
+    most = max(bands_of.values())
     schema = "kind string, word string, weight long, band long, key long"
-    signed = materialize(words.where(F.length("word") >= 3).select("kind", "word", "weight").mapInPandas(lambda b: _minhash(b, bands, ROWS), schema))
+    words = words.select("kind", "word", "weight")
+    wanted = F.element_at(F.create_map(*[F.lit(x) for kv in bands_of.items() for x in kv]), F.least(F.length("word"), F.lit(24)))
+    signed = words.where(F.length("word") >= shortest).mapInPandas(lambda b: _minhash(b, most, ROWS), schema).where(F.col("band") < wanted)
+    signed = materialize(signed)
     sizes = signed.groupBy("kind", "band", "key").agg(F.count("*").alias("size")).where("size > 1")
     small = signed.join(sizes.where(F.col("size") <= largest), ["kind", "band", "key"])
     left, right = small.select("kind", "band", "key", F.col("word").alias("a"), F.col("weight").alias("wa")), small.select("kind", "band", "key", F.col("word").alias("b"), F.col("weight").alias("wb"))
     lighter = (F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") > F.col("b")))
     near = F.abs(F.length("a") - F.length("b")) <= 1
     pairs = left.join(right, ["kind", "band", "key"]).where(lighter & near & (F.levenshtein("a", "b", 2) >= 0)).select("kind", "a", "b")
-    large = signed.join(sizes.where(F.col("size") > largest), ["kind", "band", "key"]).select("kind", "word", "weight").distinct()
+    short = words.where(F.length("word").between(3, shortest))
+    large = signed.join(sizes.where(F.col("size") > largest), ["kind", "band", "key"]).select("kind", "word", "weight")
     cut = F.udf(_deletions, "array<string>")
-    rest = large.withColumn("rest", F.explode(cut("word")))
+    rest = large.unionByName(short).distinct().withColumn("rest", F.explode(cut("word")))
     more = rest.select("kind", "rest", F.col("word").alias("a"), F.col("weight").alias("wa")).join(rest.select("kind", "rest", F.col("word").alias("b"), F.col("weight").alias("wb")), ["kind", "rest"]).where(lighter).select("kind", "a", "b")
     return pairs.unionByName(more).distinct().mapInPandas(lambda b: _verified(b, verify), "kind string, a string, b string")
 
@@ -359,8 +377,13 @@ def author_clusters(authors: DataFrame) -> DataFrame:
     by_nick = mine.where("kind = 'person'").withColumn("full", F.explode(F.element_at(short, F.col("g"))))
     by_nick = by_nick.join(theirs.where("k2 = 'person'"), (F.col("s") == F.col("s2")) & (F.col("full") == F.col("g2")))
     by_nick = by_nick.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("fits")).where("fits = 1").select("a", "b")
+    # Vowels written as ae, oe and ue for want of marks.
+    plain = lambda c: F.regexp_replace(c, "([aou])e", "$1")
+    spelt = nodes.withColumns({"ps": plain("s"), "pg": plain("g")})
+    most = spelt.groupBy("kind", "ps", "pg").agg(F.max_by("node", F.struct("n", "len", "node")).alias("b"), F.count("*").alias("size")).where("size > 1")
+    by_vowel = spelt.join(most, ["kind", "ps", "pg"]).where("node <> b").select(F.col("node").alias("a"), "b")
     rank = nodes.select("node", F.struct("n", "len", "node").alias("rank"))
-    stars = materialize(star_clusters(rank, by_s.unionByName(by_g).unionByName(by_nick)))
+    stars = materialize(star_clusters(rank, by_s.unionByName(by_g).unionByName(by_nick).unionByName(by_vowel)))
     placed = nodes.join(stars, "node")
 
     # Initials join the one author of their family name that they fit, the stated middle initial or compound first.
@@ -380,8 +403,12 @@ def author_clusters(authors: DataFrame) -> DataFrame:
     known = people.select("s", "i").distinct()
     lost = fits.where("center IS NULL").join(known, ["s", "i"], "left_anti").select("text", "s", "i").join(s_pairs.where("kind = 'person'").select(F.col("a").alias("s"), F.col("b").alias("s_to")), "s")
     found = lost.join(people.select(F.col("s").alias("s_to"), "i", "center"), ["s_to", "i"]).groupBy("text").agg(F.min("center").alias("c4"), F.max("center").alias("c5")).where("c4 = c5").select("text", "c4")
+    # Three capitals behind the head are an organisation's fields and type.
+    acronym = parts.where("kind = 'person' AND g = '' AND m <> ''").where(F.col("text").rlike(r"\s\p{Lu}{3}\s*$")).select("text", "s", F.concat("i", "m").alias("g"))
+    bodies = one(placed.where("kind = 'org'").select("s", "g", "center"), "s", "g").withColumnRenamed("center", "c6")
+    acronym = acronym.join(bodies, ["s", "g"]).select("text", "c6")
     alone = F.xxhash64(F.lit("initials"), "s", "i", "hy", "m")
-    attached = fits.join(found, "text", "left").select("text", F.coalesce("center", "c4", alone).alias("author"))
+    attached = fits.join(found, "text", "left").join(acronym, "text", "left").select("text", F.coalesce("c6", "center", "c4", alone).alias("author"))
     whole = full.select("text", node(F.col("kind"), F.col("s"), F.col("g")).alias("node")).join(stars, "node").select("text", F.col("center").alias("author"))
     single = parts.where("g = '' AND i = ''").select("text", F.xxhash64(F.lit("single"), "kind", "s").alias("author"))
     return whole.unionByName(attached).unionByName(single)
