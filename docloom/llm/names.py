@@ -39,7 +39,7 @@ christopher chris kit|cynthia cindy|daniel dan danny|david dave davy|deborah deb
 elizabeth liz beth betty lizzie eliza betsy bess|eugene gene|frances fran|francis frank|frederick fred freddie|gabriel gabe|gerald gerry jerry|
 gregory greg|harold hal harry|henry hank harry|jacob jake|james jim jimmy jamie|janet jan|jeffrey jeff|jennifer jen jenny|jessica jess jessie|
 john jack johnny|jonathan jon jonny|joseph joe joey|joshua josh|judith judy|katherine kate kathy katie kat kay|kenneth ken kenny|
-lawrence larry laurie|leonard len leo|margaret maggie meg peggy greta|martha marty|matthew matt|michael mike mick mickey|nathaniel nat|
+lawrence larry laurie|leonard len leo|margaret maggie meg peggy|martha marty|matthew matt|michael mike mick mickey|nathaniel nat|
 nicholas nick nicky|pamela pam|patricia pat patty trish tricia|patrick pat paddy rick|peter pete|philip phil|raymond ray|
 rebecca becky becca|richard rich rick dick richie|robert rob bob bobby robbie|ronald ron|samuel sam sammy|stephen steve stevie|
 steven steve|susan sue susie suzy|theodore ted teddy theo|thomas tom tommy|timothy tim timmy|victoria vicky vicki tori|vincent vince vinny|
@@ -299,28 +299,25 @@ def similar_words(words: DataFrame, recall: float = 0.99, verify: float = 0.8, s
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, center): each node's star. ``nodes``: node, rank (higher first, no ties); ``edges``: a, b, both ways allowed.
+    """(node, center): each node's star. ``nodes``: node, rank (higher first, no ties); ``edges``: a, b, ra, rb with the
+    ranks of both ends, given both ways.
 
     A node without an unassigned neighbour of higher rank becomes a center and takes its unassigned neighbours. Nodes
     left after ``rounds`` stay alone.
     """
-    ranked = nodes.select("node", "rank")
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = both.join(ranked.select(F.col("node").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("node").alias("b"), F.col("rank").alias("rb")), "b")
-    live, done = materialize(both), None
+    live, done = materialize(edges.distinct()), None
     for _ in range(rounds):
-        if live.isEmpty():
+        if not live.take(1):
             break
-        top = live.groupBy("a").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"), F.max_by("b", "rb").alias("best"))
-        centers = top.where("ra > rb").select(F.col("a").alias("center"))
-        satellites = live.join(centers, live.a == centers.center).groupBy("b").agg(F.max_by("a", "ra").alias("center")).withColumnRenamed("b", "node")
-        found = materialize(satellites.unionByName(centers.select(F.col("center").alias("node"), "center")))
+        centers = live.groupBy("a").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb")).where("ra > rb").select(F.col("a").alias("center"))
+        reached = live.join(centers, live.a == centers.center).groupBy("b").agg(F.max_by("a", "ra").alias("center"))
+        found = materialize(reached.withColumnRenamed("b", "node").unionByName(centers.select(F.col("center").alias("node"), "center")))
         done = found if done is None else done.unionByName(found)
         gone = found.select(F.col("node").alias("gone"))
         live = materialize(live.join(gone, live.a == gone.gone, "left_anti").join(gone, live.b == gone.gone, "left_anti"))
     if done is None:
-        return ranked.select("node", F.col("node").alias("center"))
-    return ranked.join(done, "node", "left").select("node", F.coalesce("center", "node").alias("center"))
+        return nodes.select("node", F.col("node").alias("center"))
+    return nodes.select("node").join(done, "node", "left").select("node", F.coalesce("center", "node").alias("center"))
 
 
 def name_parts(authors: DataFrame) -> DataFrame:
@@ -349,69 +346,73 @@ def author_clusters(authors: DataFrame) -> DataFrame:
     Initials that fit several authors of a family name stay alone.
     """
     parts = materialize(name_parts(authors))
-    full = parts.where("g <> ''")
-    node = lambda k, s, g: F.xxhash64(k, s, g)
-    nodes = full.groupBy("kind", "s", "g").agg(F.sum("n").alias("n"), F.collect_set(F.when(F.col("m") != "", F.col("m"))).alias("ms"), F.min(F.when(F.col("g") != "", F.length("g"))).alias("len"))
-    nodes = materialize(nodes.withColumn("node", node(F.col("kind"), F.col("s"), F.col("g"))))
-
-    # Family names (and heads of organisations) one error apart, then given names one error apart.
-    s_words = parts.groupBy("kind", "s").agg(F.sum("n").alias("weight"), F.count_distinct("g").alias("partners")).withColumnRenamed("s", "word")
-    g_words = nodes.where("kind = 'person'").groupBy("kind", "g").agg(F.count_distinct("s").alias("weight")).withColumnRenamed("g", "word")
-    s_pairs = materialize(similar_words(s_words))
-    g_weight = g_words.select(F.col("word"), F.col("weight"))
-    g_pairs = (
-        similar_words(g_words)
-        .join(g_weight.select(F.col("word").alias("a"), F.col("weight").alias("wa")), "a")
-        .join(g_weight.select(F.col("word").alias("b"), F.col("weight").alias("wb")), "b")
-        .where("wa <= 3 OR wa * 20 <= wb")  # both in wide use: two given names, not an error
-        .select("a", "b")
-    )
-    mine = nodes.select(F.col("kind"), F.col("s"), F.col("g"), F.col("node").alias("a"))
-    theirs = nodes.select(F.col("kind").alias("k2"), F.col("s").alias("s2"), F.col("g").alias("g2"), F.col("node").alias("b"))
-    by_s = mine.join(s_pairs.select("kind", F.col("a").alias("s"), F.col("b").alias("s_to")), ["kind", "s"])
-    by_s = by_s.join(theirs, (F.col("kind") == F.col("k2")) & (F.col("s_to") == F.col("s2")) & (F.col("g") == F.col("g2"))).select("a", "b")
-    by_g = mine.where("kind = 'person'").join(g_pairs.select(F.col("a").alias("g"), F.col("b").alias("g_to")), "g")
-    by_g = by_g.join(theirs.where("k2 = 'person'"), (F.col("s") == F.col("s2")) & (F.col("g_to") == F.col("g2"))).select("a", "b")
-    nick = nickname_table()
-    short = F.create_map(*[x for k, v in nick.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in v]))])
-    by_nick = mine.where("kind = 'person'").withColumn("full", F.explode(F.element_at(short, F.col("g"))))
-    by_nick = by_nick.join(theirs.where("k2 = 'person'"), (F.col("s") == F.col("s2")) & (F.col("full") == F.col("g2")))
-    by_nick = by_nick.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("fits")).where("fits = 1").select("a", "b")
-    # Vowels written as ae, oe and ue for want of marks.
+    node = F.xxhash64("kind", "s", "g")
+    nodes = parts.where("g <> ''").groupBy("kind", "s", "g").agg(F.sum("n").alias("n"))
+    nodes = materialize(nodes.select("kind", "s", "g", node.alias("node"), F.struct("n", F.length("g").alias("len"), node.alias("node")).alias("rank")))
+
+    # Family names (and heads of organisations) and given names one error apart, in one pass over their words.
+    s_words = parts.groupBy(F.concat(F.lit("s-"), "kind").alias("kind"), F.col("s").alias("word")).agg(F.sum("n").alias("weight"))
+    g_words = nodes.where("kind = 'person'").groupBy(F.lit("g-person").alias("kind"), F.col("g").alias("word")).agg(F.count("*").alias("weight"))
+    words = materialize(s_words.unionByName(g_words))
+    weights = words.select("kind", "word", "weight")
+    pairs = similar_words(words)
+    pairs = pairs.join(weights.select("kind", F.col("word").alias("a"), F.col("weight").alias("wa")), ["kind", "a"])
+    pairs = pairs.join(weights.select("kind", F.col("word").alias("b"), F.col("weight").alias("wb")), ["kind", "b"])
+    # Two given names in wide use are no error of each other.
+    near = pairs.where("kind <> 'g-person' OR wa <= 3 OR wa * 20 <= wb").groupBy("kind", "a").agg(F.collect_list("b").alias("near"))
+    near = materialize(near)
+
+    # What each node may be a spelling of, looked up among the nodes.
+    s_near = near.select(F.substring("kind", 3, 6).alias("kind"), F.col("a").alias("s"), F.col("near").alias("s_near")).where("kind <> 'g-person'")
+    g_near = near.where("kind = 'g-person'").select(F.lit("person").alias("kind"), F.col("a").alias("g"), F.col("near").alias("g_near"))
+    short = F.create_map(*[x for k, v in nickname_table().items() for x in (F.lit(k), F.array(*[F.lit(f) for f in v]))])
+    none = F.array().cast("array<string>")
     plain = lambda c: F.regexp_replace(c, "([aou])e", "$1")
-    spelt = nodes.withColumns({"ps": plain("s"), "pg": plain("g")})
-    most = spelt.groupBy("kind", "ps", "pg").agg(F.max_by("node", F.struct("n", "len", "node")).alias("b"), F.count("*").alias("size")).where("size > 1")
-    by_vowel = spelt.join(most, ["kind", "ps", "pg"]).where("node <> b").select(F.col("node").alias("a"), "b")
-    rank = nodes.select("node", F.struct("n", "len", "node").alias("rank"))
-    stars = materialize(star_clusters(rank, by_s.unionByName(by_g).unionByName(by_nick).unionByName(by_vowel)))
-    placed = nodes.join(stars, "node")
-
-    # Initials join the one author of their family name that they fit, the stated middle initial or compound first.
-    people = placed.where("kind = 'person'").join(full.where("kind = 'person'").select("s", "g", "m", "text").distinct(), ["s", "g"])
-    compound = F.regexp_extract(F.lower("text"), r"(\p{L})\p{L}+[-‐‑](\p{L})\p{L}+", 0)
-    people = people.withColumn("hy", F.when(F.col("text").rlike(r"(?i)(?:^|,\s*|\.\s*|\s)\p{L}+[-‐‑]\p{L}+"), F.concat(F.substring(compound, 1, 1), F.regexp_extract(compound, r"[-‐‑](\p{L})", 1))))
-    one = lambda df, *keys: df.groupBy(*keys).agg(F.min("center").alias("center"), F.max("center").alias("other")).where("center = other").drop("other")
-    people = people.select("s", F.substring("g", 1, 1).alias("i"), "m", "hy", "center").distinct()
-    initials = parts.where("kind = 'person' AND g = '' AND i <> ''").select("text", "s", "i", "hy", "m")
-    fits = (
-        initials.join(one(people.where("hy IS NOT NULL"), "s", "i", "hy").withColumnRenamed("center", "c1"), ["s", "i", "hy"], "left")
-        .join(one(people.where("m <> ''"), "s", "i", "m").withColumnRenamed("center", "c2"), ["s", "i", "m"], "left")
-        .join(one(people, "s", "i").withColumnRenamed("center", "c3"), ["s", "i"], "left")
-        .withColumn("center", F.coalesce("c1", "c2", "c3"))
+    wide = nodes.join(s_near, ["kind", "s"], "left").join(g_near, ["kind", "g"], "left")
+    fulls = F.when(F.col("kind") == "person", F.coalesce(F.element_at(short, F.col("g")), none)).otherwise(none)
+    made = lambda how, arr, f: F.transform(F.coalesce(arr, none), lambda x: F.struct(F.lit(how).alias("how"), *f(x)))
+    targets = F.concat(
+        made("family", F.col("s_near"), lambda x: (x.alias("s"), F.col("g").alias("g"))),
+        made("given", F.col("g_near"), lambda x: (F.col("s").alias("s"), x.alias("g"))),
+        made("short", fulls, lambda x: (F.col("s").alias("s"), x.alias("g"))),
+        F.array(F.struct(F.lit("vowel").alias("how"), plain("s").alias("s"), plain("g").alias("g"))),
+    )
+    wanted = wide.select("kind", F.col("node").alias("a"), F.col("rank").alias("ra"), F.explode(targets).alias("t")).select("kind", "a", "ra", "t.*")
+    known = nodes.select("kind", "s", "g", F.col("node").alias("b"), F.col("rank").alias("rb"))
+    edges = wanted.join(known, ["kind", "s", "g"]).where("a <> b").groupBy("a", "ra", "how").agg(F.collect_set(F.struct("b", "rb")).alias("ends"))
+    edges = edges.where("how <> 'short' OR size(ends) = 1").select("a", "ra", F.explode("ends").alias("e")).select("a", "ra", "e.b", "e.rb")
+    edges = edges.select(F.explode(F.array(F.struct("a", "b", "ra", "rb"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb")))).alias("e")).select("e.*")
+    stars = star_clusters(nodes, edges)
+    compound = F.regexp_extract(F.lower("text"), r"(\p{L})\p{L}+[-‐‑]\p{L}\p{L}+", 1)
+    second = F.regexp_extract(F.lower("text"), r"\p{L}\p{L}+[-‐‑](\p{L})\p{L}+", 1)
+    full = materialize(parts.where("g <> ''").withColumn("node", node).join(stars, "node").select("text", "kind", "s", "g", "i", "m", F.concat(compound, second).alias("hy"), F.col("center").alias("author")))
+
+    # Initials join the one author whom they fit: compound or middle initial first, then any, then the family name corrected.
+    key = lambda *c: F.concat_ws("|", *[F.lit(x) if x in ("org", "h", "m", "") else F.col(x) for x in c])
+    person = F.col("kind") == "person"
+    keys = F.array_compact(F.array(F.when(~person, key("s", "org", "g")), F.when(person, key("s", "i", "")), F.when(person & (F.col("m") != ""), key("s", "i", "m", "m")), F.when(person & (F.col("hy") != ""), key("s", "i", "h", "hy"))))
+    fits = full.select(F.explode(keys).alias("key"), "author").groupBy("key").agg(F.min("author").alias("author"), F.max("author").alias("other"))
+    fits = fits.select("key", F.when(F.col("author") == F.col("other"), F.col("author")).alias("fit"))
+    rest = parts.where("g = ''").select("text", "kind", "s", "i", "hy", "m").join(s_near, ["kind", "s"], "left")
+    acronym = F.col("text").rlike(r"\s\p{Lu}{3}\s*$")  # three capitals: an organisation's fields and type
+    at = lambda order, k: F.struct(F.lit(order).alias("order"), k.alias("key"))
+    asked = F.concat(
+        F.array(
+            at(0, F.when(acronym, F.concat_ws("|", "s", F.lit("org"), F.concat("i", "m")))), at(1, F.when(F.col("hy") != "", key("s", "i", "h", "hy"))),
+            at(2, F.when(F.col("m") != "", key("s", "i", "m", "m"))), at(3, key("s", "i", "")),
+        ),
+        F.transform(F.coalesce("s_near", none), lambda x: at(4, F.concat_ws("|", x, F.col("i"), F.lit("")))),
+    )
+    alone = F.xxhash64("kind", "s", "i", "hy", "m")
+    asked = rest.select("text", alone.alias("alone"), F.explode(asked).alias("q")).select("text", "alone", "q.*").join(fits, "key", "left")
+    chosen = asked.groupBy("text", "alone").agg(
+        F.min_by("fit", F.when(F.col("fit").isNotNull() & (F.col("order") < 4), F.col("order"))).alias("own"),
+        F.count_if((F.col("order") == 3) & F.col("fit").isNotNull()).alias("any"),
+        F.min(F.when(F.col("order") == 4, F.col("fit"))).alias("low"),
+        F.max(F.when(F.col("order") == 4, F.col("fit"))).alias("high"),
     )
-    # The same with the family name corrected, for those that fit nobody.
-    known = people.select("s", "i").distinct()
-    lost = fits.where("center IS NULL").join(known, ["s", "i"], "left_anti").select("text", "s", "i").join(s_pairs.where("kind = 'person'").select(F.col("a").alias("s"), F.col("b").alias("s_to")), "s")
-    found = lost.join(people.select(F.col("s").alias("s_to"), "i", "center"), ["s_to", "i"]).groupBy("text").agg(F.min("center").alias("c4"), F.max("center").alias("c5")).where("c4 = c5").select("text", "c4")
-    # Three capitals behind the head are an organisation's fields and type.
-    acronym = parts.where("kind = 'person' AND g = '' AND m <> ''").where(F.col("text").rlike(r"\s\p{Lu}{3}\s*$")).select("text", "s", F.concat("i", "m").alias("g"))
-    bodies = one(placed.where("kind = 'org'").select("s", "g", "center"), "s", "g").withColumnRenamed("center", "c6")
-    acronym = acronym.join(bodies, ["s", "g"]).select("text", "c6")
-    alone = F.xxhash64(F.lit("initials"), "s", "i", "hy", "m")
-    attached = fits.join(found, "text", "left").join(acronym, "text", "left").select("text", F.coalesce("c6", "center", "c4", alone).alias("author"))
-    whole = full.select("text", node(F.col("kind"), F.col("s"), F.col("g")).alias("node")).join(stars, "node").select("text", F.col("center").alias("author"))
-    single = parts.where("g = '' AND i = ''").select("text", F.xxhash64(F.lit("single"), "kind", "s").alias("author"))
-    return whole.unionByName(attached).unionByName(single)
+    corrected = F.when((F.col("any") == 0) & (F.col("low") == F.col("high")), F.col("low"))
+    return full.select("text", "author").unionByName(chosen.select("text", F.coalesce("own", corrected, "alone").alias("author")))
 
 
 def spelling_pairs(clusters: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.boilerplate import main_text, page_lines
 from docloom.llm.leaks import find_leaks
+from docloom.llm.matching import match_records
 from docloom.llm.names import author_clusters, spelling_pairs
 from docloom.llm.packing import pack_documents
 from docloom.llm.quality import text_statistics
@@ -97,7 +98,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_pairs(p1_clusters(spark, sf_dir))
 
 
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = lambda kind: F.lit(None).cast(kind)
+    cands = table(spark, sf_dir, "candidates").select(F.col("candidate_id").alias("id"), "title", "authors", none("string").alias("author"), F.col("publication_date").alias("date"), "ids")
+    sources = table(spark, sf_dir, "sources").select(F.col("source_id").alias("id"), "title", none("array<string>").alias("authors"), F.col("author"), F.col("publication_date").alias("date"), "ids")
+    return match_records(cands, sources).withColumnsRenamed({"c_id": "candidate_id", "s_id": "source_id"})
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_matches(spark, sf_dir).where("confidence >= 0.5").select("candidate_id", "source_id").distinct()
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_matches": p3_matches,
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
     "p2_found": p2_found,
