@@ -12,3 +12,44 @@ def host_of(url: Column | str) -> Column:
     host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
     host = F.regexp_replace(host, r"\.$", "")
     return F.when(host != "", host)
+
+
+# Query parameters that only track.
+TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "dclid", "msclkid", "mc_cid", "mc_eid", "igshid", "ref_src", "_hsenc", "_hsmi", "si"]
+
+
+def canonical_url(url: Column | str) -> Column:
+    """Scheme and host in lower case, without default port, fragment and tracking parameters, the query sorted.
+
+    Null for other schemes than http and https, for URLs without a host and for those with credentials. Host names beyond
+    ASCII and escapes in the path are left as they are; see ``docloom.functions.unicode`` for those.
+    """
+    url = F.trim(F.col(url) if isinstance(url, str) else url)
+    parts = r"^([A-Za-z]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+    get = lambda i: F.regexp_extract(url, parts, i)
+    scheme, authority = F.lower(get(1)), F.lower(get(2))
+    host = F.regexp_replace(F.regexp_extract(authority, r"^([^:]*)(?::(\d*))?$", 1), r"\.$", "")
+    port = F.regexp_extract(authority, r"^([^:]*)(?::(\d*))?$", 2)
+    default = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    path = F.when(get(3) == "", "/").otherwise(get(3))
+    kept = F.array_sort(F.filter(F.split(get(4), "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).isin(*TRACKING)))
+    query = F.array_join(kept, "&")
+    out = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(scheme.isin("http", "https") & (host != "") & ~authority.contains("@"), out)
+
+
+def parent_domains(host: Column | str) -> Column:
+    """The host and every parent of at least two labels, the most specific first."""
+    host = F.col(host) if isinstance(host, str) else host
+    labels = F.split(host, r"\.")
+    return F.when(F.size(labels) >= 2, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+
+
+def url_identifiers(url: Column | str) -> Column:
+    """struct(arxiv, doi) that a URL implies, versions stripped; null parts where it implies none."""
+    url = F.col(url) if isinstance(url, str) else url
+    new = F.regexp_extract(url, r"(?i)arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})", 1)
+    old = F.regexp_extract(url, r"(?i)arxiv\.org/(?:abs|pdf)/([a-z-]+(?:\.[A-Z]{2})?/\d{7})", 1)
+    doi = F.lower(F.regexp_replace(F.regexp_extract(url, r"(?i)(?:dx\.|www\.)?doi\.org/(10\.[^\s?#]+)", 1), r"\.+$", ""))
+    blank = F.lit("")
+    return F.struct(F.coalesce(F.nullif(new, blank), F.nullif(old, blank)).alias("arxiv"), F.nullif(doi, blank).alias("doi"))
