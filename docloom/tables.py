@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,28 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder and read again; for results too wide for a checkpoint,
+    whose files are not compressed. The tables are removed when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        except Exception:  # the session may be gone already
+            return
