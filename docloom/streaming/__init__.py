@@ -1 +1 @@
-"""docloom.streaming"""
+"""Streaming forms of the ledger's operators."""
