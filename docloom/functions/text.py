@@ -64,4 +64,4 @@ def location_label(page: Column, slide: Column, section: Column, sheet: Column,
 def injection_phrases(text: Column) -> Column:
     """Sorted distinct phrases that address the reader's instructions, in lower case."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(" + "|".join(INJECTIONS) + ")"), 1)
-    return F.array_sort(F.array_distinct(F.transform(found, F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda p: F.trim(p))))

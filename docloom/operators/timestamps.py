@@ -147,7 +147,6 @@ def parse_date_text(text: str | None, day_first: bool | None) -> tuple:
     return NOTHING
 
 
-@F.pandas_udf(PARSED_SCHEMA)
 def parsed_dates(text: pd.Series, day_first: pd.Series) -> pd.DataFrame:
     known: dict = {}
     rows = []
@@ -217,7 +216,7 @@ def normalize_timestamps(df: DataFrame, text: str, tz: str, day_first: str, out:
     columns of ``df`` named ``out`` are replaced and all others kept whatever their names.
     """
     packed = df.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(tz).alias("site_tz"), F.col(day_first).alias("site_df"))
-    parsed = packed.withColumn("p", parsed_dates("text", "site_df"))
+    parsed = packed.withColumn("p", F.pandas_udf(parsed_dates, PARSED_SCHEMA)("text", "site_df"))
     local = F.col("p.day") * 86400 + F.col("p.tod")
     zone = F.coalesce(F.col("p.tz"), F.col("site_tz"))
     parsed = parsed.withColumns({"local": local, "zone": F.when(F.col("p.offset_s").isNull() & local.isNotNull(), zone)})

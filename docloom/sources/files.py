@@ -153,7 +153,7 @@ def parse_source_list(lines: DataFrame) -> DataFrame:
     """
     raw = F.trim(F.regexp_replace("value", "^﻿", ""))
     rows = lines.withColumn("raw", raw).where("raw <> '' AND NOT startswith(raw, '#')")
-    parts = F.transform(F.split("raw", r"\|"), F.trim)
+    parts = F.transform(F.split("raw", r"\|"), lambda p: F.trim(p))
     rows = rows.withColumns({"main": F.regexp_replace(F.get(parts, F.lit(0)), '^"|"$', ""), "opts": F.slice(parts, 2, 1000)})
     number = F.get(F.filter(F.transform("opts", lambda o: F.regexp_extract(o, r"(?i)^n\s*:\s*(\d+)$", 1)), lambda x: x != ""), F.lit(0))
     title = F.get(F.filter("opts", lambda o: (o != "") & ~o.rlike(r"(?i)^n\s*:\s*\d+$")), F.lit(0))

@@ -48,7 +48,7 @@ class Page(HTMLParser):
             name, content = (a.get("name") or a.get("property") or "").lower(), a.get("content", "").strip()
             if content:
                 self.meta.setdefault(name, []).append(content)
-        if tag == "br":
+        if tag in ("br", "a"):
             self.buffer.append(" ")
         if tag in BLOCKS:
             self.flush()

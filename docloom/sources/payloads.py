@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CANDIDATE = "title string, authors array<string>, publication_date string, url string, pdf_url string, abstract string, venue string, work_type string, ids map<string,string>"
-COLUMNS = ["connector", *[c.split()[0] for c in CANDIDATE.split(", ")]]
+CANDIDATE = "title:string,authors:array<string>,publication_date:string,url:string,pdf_url:string,abstract:string,venue:string,work_type:string,ids:map<string,string>"
 
 
 def clean(text: Column) -> Column:
@@ -122,19 +121,17 @@ def parse_feed(payload: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<title:string,authors:array<string>,publication_date:string,url:string,pdf_url:string,abstract:string,venue:string,work_type:string,ids:map<string,string>>>")
 def _feed(payload: pd.Series) -> pd.Series:
     return payload.map(parse_feed)
 
 
 def feed_entries(payloads: DataFrame, connector: str = "rss") -> DataFrame:
     """Candidates of RSS and Atom feeds (column payload: XML)."""
-    e = payloads.select(F.explode(_feed("payload")).alias("e"))
+    e = payloads.select(F.explode(F.pandas_udf(_feed, f"array<struct<{CANDIDATE}>>")("payload")).alias("e"))
     date = F.when(F.col("e.publication_date").rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring("e.publication_date", 1, 10)).otherwise(F.col("e.publication_date"))
     return e.select(F.lit(connector).alias("connector"), "e.title", "e.authors", date.alias("publication_date"), "e.url", "e.pdf_url", "e.abstract", "e.venue", "e.work_type", "e.ids")
 
 
-@F.pandas_udf("array<struct<url:string,lastmod:string,nested:boolean>>")
 def _sitemap(payload: pd.Series) -> pd.Series:
     def read(text: str | None) -> list[dict]:
         if not text or re.search(r"<!ENTITY", text, re.I):
@@ -151,7 +148,7 @@ def _sitemap(payload: pd.Series) -> pd.Series:
 
 def sitemap_urls(payloads: DataFrame, prefix: str = "") -> DataFrame:
     """(url, lastmod, nested, title) of sitemaps, those below ``prefix`` only; titles are made from the last path part."""
-    u = payloads.select(F.explode(_sitemap("payload")).alias("u")).select("u.*").where(F.col("url").startswith(prefix))
+    u = payloads.select(F.explode(F.pandas_udf(_sitemap, "array<struct<url:string,lastmod:string,nested:boolean>>")("payload")).alias("u")).select("u.*").where(F.col("url").startswith(prefix))
     slug = F.regexp_extract("url", r"/([^/?#]+?)(?:\.\w{2,5})?/?(?:[?#].*)?$", 1)
     return u.withColumn("title", F.trim(F.regexp_replace(slug, r"[-_+]+", " ")))
 
