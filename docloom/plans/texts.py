@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import NOT_DONE, OWN_WORK, SIGNALS, STOP_WORDS, collapse, glued_share, sentences, signals_of, word_set
 from docloom.operators.dedupe import classify_duplicates
-from docloom.tables import table
+from docloom.tables import materialize, table
 
 
 def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def doc_token_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_dedupe_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUPLICATE of the first document of the same words, VARIANT of the first with the same first 40 characters, or NEW."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", word_set(F.col("text")).alias("full"), F.lower(F.substring(collapse(F.col("text")), 1, 40)).alias("core"))
-    return classify_duplicates(docs, "doc_id", "full", "core")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(word_set(F.col("text")), 256).alias("full"), F.lower(F.substring(collapse(F.col("text")), 1, 40)).alias("core"))
+    return classify_duplicates(materialize(docs), "doc_id", "full", "core")  # the keys are used three times
 
 
 def doc_source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
