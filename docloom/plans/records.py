@@ -25,7 +25,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deliveries(spark, sf_dir).select("candidate_id", "connector", "title", "campaign_id", "deliveries")
+    return deliveries(spark, sf_dir).select("candidate_id", "connector", "title", F.coalesce("campaign_id", F.lit(-1)).alias("campaign_id"), "deliveries")
 
 
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +42,12 @@ def url_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_tier(spark: SparkSession, sf_dir: str, tiers: dict[str, int] = TEST_TIERS) -> DataFrame:
-    """Tier of each host by its longest listed domain; hosts without one have a null tier."""
+    """Tier of each host by its longest listed domain; hosts without one have tier 0."""
     hosts = table(spark, sf_dir, "candidates").select(host_of("url").alias("host")).where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("hits"))
     listed = spark.createDataFrame(list(tiers.items()), "domain string, tier long")
     parents = hosts.select("host", F.posexplode(parent_domains("host")).alias("depth", "domain")).join(F.broadcast(listed), "domain")
     best = parents.groupBy("host").agg(F.min_by("tier", "depth").alias("tier"), F.min_by("domain", "depth").alias("basis"))
-    return hosts.join(best, "host", "left").select("host", "hits", "tier", F.coalesce("basis", F.lit("UNKNOWN_DOMAIN")).alias("basis"))
+    return hosts.join(best, "host", "left").select("host", "hits", F.coalesce("tier", F.lit(0)).alias("tier"), F.coalesce("basis", F.lit("UNKNOWN_DOMAIN")).alias("basis"))
 
 
 def candidate_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,14 +74,14 @@ def source_fill_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unread_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources without a parsed result: an anti join."""
     done = table(spark, sf_dir, "handler_results").select("source_id")
-    return table(spark, sf_dir, "sources").join(done, "source_id", "left_anti").select("source_id", "tier", "format", "access_status")
+    return table(spark, sf_dir, "sources").join(done, "source_id", "left_anti").select("source_id", F.coalesce("tier", F.lit(0)).alias("tier"), "format", "access_status")
 
 
 def read_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Campaigns with at least one source that was parsed: a semi join, then counts with a predicate."""
     src = table(spark, sf_dir, "sources")
     read = src.join(table(spark, sf_dir, "handler_results").where("access_status = 'OK'"), "source_id", "left_semi").select(F.col("campaign_id").alias("read_id")).distinct()
-    return src.join(read, F.col("campaign_id").eqNullSafe(F.col("read_id")), "left_semi").groupBy("campaign_id").agg(F.count("*").alias("sources"), F.count_if(F.col("tier") <= 2).alias("good"), F.count("retrieved_at").alias("fetched"))
+    return src.join(read, F.col("campaign_id").eqNullSafe(F.col("read_id")), "left_semi").groupBy(F.coalesce("campaign_id", F.lit(-1)).alias("campaign_id")).agg(F.count("*").alias("sources"), F.count_if(F.col("tier") <= 2).alias("good"), F.count("retrieved_at").alias("fetched"))
 
 
 def refusing_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def tier_counts_with_zeroes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 largest files, unknown sizes last, newest id first among equals (a top-k report)."""
-    return table(spark, sf_dir, "sources").orderBy(F.desc_nulls_last("file_size"), F.desc("source_id")).limit(50).select("source_id", "file_size", "tier")
+    return table(spark, sf_dir, "sources").orderBy(F.desc_nulls_last("file_size"), F.desc("source_id")).limit(50).select("source_id", F.coalesce("file_size", F.lit(-1)).alias("file_size"), F.coalesce("tier", F.lit(0)).alias("tier"))
 
 
 def filter_after_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def connector_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connector_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each campaign by connector, as columns."""
     names = ["arxiv", "crossref", "openalex", "rss", "sites", "web_search"]
-    return table(spark, sf_dir, "candidates").groupBy("campaign_id").pivot("connector", names).agg(F.count_distinct("candidate_id")).select("campaign_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    return table(spark, sf_dir, "candidates").groupBy("campaign_id").pivot("connector", names).agg(F.count_distinct("candidate_id")).select(F.coalesce("campaign_id", F.lit(-1)).alias("campaign_id"), *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
 def id_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def same_root_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of each root (reference, else own id) and the count of independent roots a campaign has."""
     s = table(spark, sf_dir, "sources").withColumn("root", F.coalesce(F.concat(F.lit("ref:"), F.col("ids")["ref"]), F.concat(F.lit("ssrn:"), F.col("ids")["ssrn"]), F.concat(F.lit("source:"), F.col("source_id").cast("string"))))
-    return s.groupBy("campaign_id").agg(F.count("*").alias("sources"), F.count_distinct("root").alias("independent_roots"))
+    return s.groupBy(F.coalesce("campaign_id", F.lit(-1)).alias("campaign_id")).agg(F.count("*").alias("sources"), F.count_distinct("root").alias("independent_roots"))
 
 
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,13 +224,13 @@ _canon = lambda c: _CANON.replace("{0}", c)
 _INJ = "ignore (all |any )?(the )?(previous|prior|above) (instructions|prompts|messages)|disregard (all |any )?(the )?(previous|prior|above|system)|forget (all |your )?(previous |prior )?instructions|you are now (a|an|the) |new (system )?instructions?:|(reveal|print|show|output) (your|the) (system prompt|instructions|api key|credentials|secrets?)|(run|execute) (the following|this) (command|code|script)|< */? *(system|assistant) *>|begin (system|admin) prompt|(disable|turn off|bypass) (the )?(safety|guardrails|rate limits?|restrictions)"
 _TIERS = ", ".join(f"('{d}', {t})" for d, t in TEST_TIERS.items())
 SQL = {
-    "candidate_latest": """SELECT candidate_id, connector, title, campaign_id, n AS deliveries FROM (SELECT *, count(*) OVER (PARTITION BY candidate_id) AS n,
+    "candidate_latest": """SELECT candidate_id, connector, title, coalesce(campaign_id, -1) AS campaign_id, n AS deliveries FROM (SELECT *, count(*) OVER (PARTITION BY candidate_id) AS n,
 row_number() OVER (PARTITION BY candidate_id ORDER BY loaded_at DESC) AS k FROM candidates) WHERE k = 1""",
     "url_canonical": f"SELECT url, {_canon('url')} AS canonical, {_HOST.format('url')} AS host FROM (SELECT DISTINCT url FROM candidates WHERE url IS NOT NULL)",
     "url_spellings": f"SELECT {_canon('url')} AS canonical, count(*) AS spellings, min(url) AS first_url FROM (SELECT url FROM candidates WHERE url IS NOT NULL UNION SELECT url FROM sources WHERE url IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
     "host_tier": f"""WITH h AS (SELECT {_HOST.format('url')} AS host, count(*) AS hits FROM candidates GROUP BY 1 HAVING host IS NOT NULL), t(domain, tier) AS (VALUES {_TIERS}),
 m AS (SELECT host, arg_max(tier, length(domain)) AS tier, arg_max(domain, length(domain)) AS basis FROM h JOIN t ON domain LIKE '%.%' AND (host = domain OR host LIKE '%.' || domain) GROUP BY host)
-SELECT host, hits, CAST(tier AS BIGINT) AS tier, coalesce(basis, 'UNKNOWN_DOMAIN') AS basis FROM h LEFT JOIN m USING (host)""",
+SELECT host, hits, coalesce(CAST(tier AS BIGINT), 0) AS tier, coalesce(basis, 'UNKNOWN_DOMAIN') AS basis FROM h LEFT JOIN m USING (host)""",
     "candidate_identity": f"""SELECT identity, count(DISTINCT candidate_id) AS candidates, min(candidate_id) AS first_id FROM (SELECT candidate_id,
 coalesce('doi:' || lower(ids['doi']), 'arxiv:' || regexp_replace(ids['arxiv'], 'v[0-9]+$', ''), {_canon('url')}, pdf_url) AS identity FROM candidates) WHERE identity IS NOT NULL GROUP BY 1""",
     "url_ids": """SELECT DISTINCT candidate_id, page, nullif(lower(regexp_replace(regexp_extract(page, '(?i)doi\\.org/(10\\.[^\\s?#]+)', 1), '\\.+$', '')), '') AS doi FROM (
@@ -238,17 +238,17 @@ SELECT candidate_id, 'https://doi.org/' || ids['doi'] AS page FROM candidates UN
     "source_fill_unknown": """WITH s AS (SELECT lower(trim(regexp_replace(title, '[ \t\r\n]+', ' ', 'g'))) AS work, source_id, organization, license FROM sources WHERE title <> 'UNKNOWN'),
 k AS (SELECT work, arg_min(organization, source_id) AS o, arg_min(license, source_id) AS l, min(nullif(nullif(organization, 'UNKNOWN'), '')) AS no, min(nullif(nullif(license, 'UNKNOWN'), '')) AS nl FROM s GROUP BY work)
 SELECT work, coalesce(nullif(nullif(o, 'UNKNOWN'), ''), no, o, 'UNKNOWN') AS organization, coalesce(nullif(nullif(l, 'UNKNOWN'), ''), nl, l, 'UNKNOWN') AS license FROM k""",
-    "unread_sources": "SELECT source_id, tier, format, access_status FROM sources WHERE source_id NOT IN (SELECT source_id FROM handler_results)",
-    "read_campaigns": """SELECT campaign_id, count(*) AS sources, count(*) FILTER (WHERE tier <= 2) AS good, count(retrieved_at) AS fetched FROM sources s
-WHERE EXISTS (SELECT 1 FROM sources x JOIN handler_results r USING (source_id) WHERE r.access_status = 'OK' AND x.campaign_id IS NOT DISTINCT FROM s.campaign_id) GROUP BY campaign_id""",
+    "unread_sources": "SELECT source_id, coalesce(tier, 0) AS tier, format, access_status FROM sources WHERE source_id NOT IN (SELECT source_id FROM handler_results)",
+    "read_campaigns": """SELECT coalesce(s.campaign_id, -1) AS campaign_id, count(*) AS sources, count(*) FILTER (WHERE tier <= 2) AS good, count(retrieved_at) AS fetched FROM sources s
+WHERE EXISTS (SELECT 1 FROM sources x JOIN handler_results r USING (source_id) WHERE r.access_status = 'OK' AND x.campaign_id IS NOT DISTINCT FROM s.campaign_id) GROUP BY s.campaign_id""",
     "refusing_hosts": f"""SELECT host, count(*) AS tries, count(*) FILTER (WHERE access_status <> 'OK') AS refused, count(*) FILTER (WHERE access_status = 'OK') AS opened,
 count(*) FILTER (WHERE access_status = 'OK') = 0 AS only_refuses FROM (SELECT {_HOST.format('canonical_url')} AS host, access_status FROM sources) WHERE host IS NOT NULL GROUP BY host HAVING count(*) FILTER (WHERE access_status <> 'OK') > 0""",
     "tier_counts_with_zeroes": "SELECT t.tier, count(s.source_id) AS sources FROM range(0, 6) t(tier) LEFT JOIN sources s ON coalesce(s.tier, 0) = t.tier GROUP BY t.tier",
-    "top_sources": "SELECT source_id, file_size, tier FROM sources ORDER BY file_size DESC NULLS LAST, source_id DESC LIMIT 50",
+    "top_sources": "SELECT source_id, coalesce(file_size, -1) AS file_size, coalesce(tier, 0) AS tier FROM sources ORDER BY sources.file_size DESC NULLS LAST, source_id DESC LIMIT 50",
     "filter_after_limit": "SELECT source_id, format FROM (SELECT * FROM sources ORDER BY source_id DESC LIMIT 200) WHERE format = 'pdf'",
     "connector_rollup": f"""SELECT connector, work_type, count(*) AS deliveries, count(DISTINCT candidate_id) AS candidates, count(DISTINCT {_HOST.format('url')}) AS hosts,
 count(*) FILTER (WHERE floor(epoch(loaded_at)) - floor(epoch(found_at)) > 86400) AS late, count(campaign_id) AS in_campaign FROM candidates GROUP BY ALL""",
-    "connector_pivot": "SELECT campaign_id, " + ", ".join(f"count(DISTINCT candidate_id) FILTER (WHERE connector = '{n}') AS {n}" for n in ("arxiv", "crossref", "openalex", "rss", "sites", "web_search")) + " FROM candidates GROUP BY campaign_id",
+    "connector_pivot": "SELECT coalesce(campaign_id, -1) AS campaign_id, " + ", ".join(f"count(DISTINCT candidate_id) FILTER (WHERE connector = '{n}') AS {n}" for n in ("arxiv", "crossref", "openalex", "rss", "sites", "web_search")) + " FROM candidates GROUP BY candidates.campaign_id",
     "id_facts": "SELECT candidate_id, min(ids['arxiv']) AS arxiv, min(ids['doi']) AS doi, min(ids['openalex']) AS openalex FROM candidates WHERE cardinality(ids) > 0 GROUP BY candidate_id",
     "campaign_status": """SELECT campaign_id, count(*) AS found, count(retrieved_at) AS fetched, count(r.source_id) AS parsed, round(count(r.source_id) * 100.0 / count(*), 1)::DOUBLE AS percent
 FROM sources LEFT JOIN (SELECT DISTINCT source_id FROM handler_results) r USING (source_id) WHERE campaign_id IS NOT NULL GROUP BY campaign_id""",
@@ -265,6 +265,6 @@ FROM handler_results GROUP BY ALL""",
     "selection_coverage": """SELECT purpose, format, count(*) AS selections, count(*) FILTER (WHERE truncated) AS truncated, sum(blocks_used)::BIGINT AS used, sum(blocks_total)::BIGINT AS total, max(length(text)) AS longest
 FROM selections LEFT JOIN handler_results USING (result_id) GROUP BY ALL""",
     "packages": "SELECT source_id, count(*) AS n_files, sum(size)::BIGINT AS bytes, string_agg(format, ',' ORDER BY result_id) AS formats FROM handler_results SEMI JOIN sources USING (source_id) GROUP BY source_id",
-    "same_root_links": """SELECT campaign_id, count(*) AS sources, count(DISTINCT coalesce('ref:' || ids['ref'], 'ssrn:' || ids['ssrn'], 'source:' || source_id)) AS independent_roots FROM sources GROUP BY campaign_id""",
+    "same_root_links": """SELECT coalesce(s.campaign_id, -1) AS campaign_id, count(*) AS sources, count(DISTINCT coalesce('ref:' || ids['ref'], 'ssrn:' || ids['ssrn'], 'source:' || source_id)) AS independent_roots FROM sources s GROUP BY s.campaign_id""",
     "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in ("candidates", "sources", "handler_results", "selections", "documents", "doc_labels", "feed_sites", "size_limits", "eval_items", "events")),
 }

@@ -40,7 +40,7 @@ def reading_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     refused = s.groupBy("host").agg(F.count_if(F.col("access_status") == "ACCESS_RESTRICTED").alias("no"), F.count_if(F.col("access_status") == "OK").alias("yes")).where("no > yes")
     relevance = F.aggregate(F.array(*map(F.lit, ("volatility", "momentum", "carry", "costs", "spreads"))), F.lit(0), lambda a, t: a + F.lower("title").contains(t).cast("int"))
     free = F.col("license").rlike("^CC|public") | (F.col("format") == "pdf")
-    return reading_order(s.select("source_id", "host", free.alias("free"), relevance.cast("long").alias("relevance"), "tier"), refused, 100)
+    return reading_order(s.select("source_id", "host", free.alias("free"), relevance.cast("long").alias("relevance"), F.coalesce("tier", F.lit(9)).alias("tier")), refused, 100)
 
 
 def page_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ SELECT query FROM o WHERE k NOT IN (SELECT {_KEY("lower(venue) || ' evidence'")}
     "reading_list": f"""WITH s AS (SELECT *, {_HOST} AS host FROM sources), r AS (SELECT host FROM s WHERE host IS NOT NULL GROUP BY host HAVING count(*) FILTER (WHERE access_status = 'ACCESS_RESTRICTED') > count(*) FILTER (WHERE access_status = 'OK')),
 k AS (SELECT source_id, CASE WHEN host IN (SELECT host FROM r) THEN 2 WHEN regexp_matches(license, '^CC|public') OR format = 'pdf' THEN 0 ELSE 1 END AS access,
  (contains(lower(title), 'volatility')::INT + contains(lower(title), 'momentum')::INT + contains(lower(title), 'carry')::INT + contains(lower(title), 'costs')::INT + contains(lower(title), 'spreads')::INT)::BIGINT AS relevance, tier FROM s)
-SELECT source_id, access::BIGINT AS access, relevance, tier FROM k ORDER BY access, relevance DESC, coalesce(tier, 9), source_id LIMIT 100""",
+SELECT source_id, access::BIGINT AS access, relevance, coalesce(tier, 9) AS tier FROM k ORDER BY k.access, relevance DESC, coalesce(k.tier, 9), source_id LIMIT 100""",
     "page_access": r"""SELECT barrier, request_class, count(*) AS n FROM (SELECT CASE WHEN access_status = 'PAYWALLED' THEN 'PAYWALLED' WHEN regexp_matches(title, '(?i)captcha|are you a robot|verify you are human|unusual traffic') THEN 'MANUAL_ACCESS_REQUIRED'
 WHEN access_status = 'ACCESS_RESTRICTED' THEN 'ACCESS_RESTRICTED' WHEN url <> canonical_url AND regexp_matches(regexp_extract(canonical_url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(?i)/(?:login|signin|sign-in|sso|auth|account/login)(?:/|$)') THEN 'ACCESS_RESTRICTED'
 WHEN regexp_matches(title, '(?i)subscribe to (?:continue|read)|this (?:article|content) is for subscribers|purchase access|paywall') THEN 'PAYWALLED' ELSE 'OPEN' END AS barrier,

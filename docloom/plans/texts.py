@@ -41,7 +41,8 @@ def doc_token_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_dedupe_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUPLICATE of the first document of the same words, VARIANT of the first with the same first 40 characters, or NEW."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(word_set(F.col("text")), 256).alias("full"), F.lower(F.substring(collapse(F.col("text")), 1, 40)).alias("core"))
-    return classify_duplicates(materialize(docs), "doc_id", "full", "core")  # the keys are used three times
+    classes = classify_duplicates(materialize(docs), "doc_id", "full", "core")  # the keys are used three times
+    return classes.select("doc_id", "class", F.coalesce("matched_id", F.lit(-1)).alias("matched_id"))
 
 
 def doc_source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,7 @@ SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(said, own))),
     "doc_dedupe_class": f"""WITH k AS (SELECT doc_id, {_WORDS} AS f, lower(substring({_COLLAPSED}, 1, 40)) AS c FROM documents),
 w AS (SELECT doc_id, c, min(doc_id) OVER (PARTITION BY f) AS df, min(doc_id) OVER (PARTITION BY c) AS dc FROM k)
 SELECT doc_id, CASE WHEN df < doc_id THEN 'DUPLICATE' WHEN c <> '' AND dc < doc_id THEN 'VARIANT' ELSE 'NEW' END AS class,
-  CASE WHEN df < doc_id THEN df WHEN c <> '' AND dc < doc_id THEN dc END AS matched_id FROM w""",
+  CASE WHEN df < doc_id THEN df WHEN c <> '' AND dc < doc_id THEN dc ELSE -1 END AS matched_id FROM w""",
     "doc_source_overlap": "SELECT doc_id, min(doc_id) OVER (PARTITION BY source) AS first_id, doc_id > min(doc_id) OVER (PARTITION BY source) AS overlaps FROM documents WHERE source IS NOT NULL",
     "doc_complexity": f"""SELECT doc_id, k AS indicators, t AS timing, b AS thresholds, least(100, k * 12 + t * 10 + b * 6) AS complexity FROM (
 SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), 'momentum|volatility|volume|sentiment|carry|basis'))) AS k,
