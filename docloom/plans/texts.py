@@ -45,6 +45,15 @@ def doc_dedupe_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class", F.coalesce("matched_id", F.lit(-1)).alias("matched_id"))
 
 
+def doc_dedupe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As doc_dedupe_class, but VARIANT of the first with the same words once their digits are dropped, whatever it begins with."""
+    words = word_set(F.col("text"))
+    core = F.trim(F.regexp_replace(F.regexp_replace(words, "[0-9]+", ""), " +", " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(words, 256).alias("full"), F.when(core != "", F.sha2(core, 256)).alias("core"))
+    classes = classify_duplicates(materialize(docs), "doc_id", "full", "core")  # the keys are used three times
+    return classes.select("doc_id", "class", F.coalesce("matched_id", F.lit(-1)).alias("matched_id"))
+
+
 def doc_source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an earlier document came from the same source: the first id of each key instead of a self join."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -86,7 +95,7 @@ def doc_label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source").agg(F.count("*").alias("documents"), F.count("labels").alias("labelled"), F.count_if(F.col("kinds") > 1).alias("disputed"))
 
 
-QUERIES = {q.__name__: q for q in (doc_sentences, doc_sentence_signals, doc_signal_sets, doc_token_fingerprint, doc_dedupe_class, doc_source_overlap, doc_complexity, doc_glued_share, doc_rebuilt_text, doc_exact_copies, doc_label_agreement)}
+QUERIES = {q.__name__: q for q in (doc_sentences, doc_sentence_signals, doc_signal_sets, doc_token_fingerprint, doc_dedupe_class, doc_dedupe_whole, doc_source_overlap, doc_complexity, doc_glued_share, doc_rebuilt_text, doc_exact_copies, doc_label_agreement)}
 
 _COLLAPSED = r"trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))"
 _SENTENCES = rf"""
@@ -114,6 +123,10 @@ SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(said, own))),
     "doc_token_fingerprint": f"SELECT doc_id, sha256({_WORDS}) AS fingerprint, length({_WORDS}) AS key_length FROM documents",
     "doc_dedupe_class": f"""WITH k AS (SELECT doc_id, {_WORDS} AS f, lower(substring({_COLLAPSED}, 1, 40)) AS c FROM documents),
 w AS (SELECT doc_id, c, min(doc_id) OVER (PARTITION BY f) AS df, min(doc_id) OVER (PARTITION BY c) AS dc FROM k)
+SELECT doc_id, CASE WHEN df < doc_id THEN 'DUPLICATE' WHEN c <> '' AND dc < doc_id THEN 'VARIANT' ELSE 'NEW' END AS class,
+  CASE WHEN df < doc_id THEN df WHEN c <> '' AND dc < doc_id THEN dc ELSE -1 END AS matched_id FROM w""",
+    "doc_dedupe_whole": f"""WITH k AS (SELECT doc_id, f, trim(regexp_replace(regexp_replace(f, '[0-9]+', '', 'g'), ' +', ' ', 'g')) AS c FROM (SELECT doc_id, {_WORDS} AS f FROM documents)),
+w AS (SELECT doc_id, c, min(doc_id) OVER (PARTITION BY f) AS df, min(doc_id) OVER (PARTITION BY c) AS dc FROM k)
 SELECT doc_id, CASE WHEN df < doc_id THEN 'DUPLICATE' WHEN c <> '' AND dc < doc_id THEN 'VARIANT' ELSE 'NEW' END AS class,
   CASE WHEN df < doc_id THEN df WHEN c <> '' AND dc < doc_id THEN dc ELSE -1 END AS matched_id FROM w""",
     "doc_source_overlap": "SELECT doc_id, min(doc_id) OVER (PARTITION BY source) AS first_id, doc_id > min(doc_id) OVER (PARTITION BY source) AS overlaps FROM documents WHERE source IS NOT NULL",

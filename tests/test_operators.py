@@ -101,3 +101,13 @@ def test_selection_keeps_its_budget(texts, budget):
     extra = [k for k in chosen if k not in [i for i, t in enumerate(texts) if t.strip()][:2]]
     assert chosen == sorted(set(chosen)) and (not extra or sum(len(texts[k]) for k in chosen) + 16 * len(extra) <= budget)
     json.dumps(chosen)
+
+
+def test_variants_by_the_whole_text(spark, tmp_path):
+    from docloom.plans.texts import doc_dedupe_whole
+
+    opening = "=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=- "
+    texts = [opening + "Costs of 12 bps are deducted", "Monday 10:30: costs of 15 bps are deducted", "Good day. Costs of 12 bps are deducted", "Monday 11:45: costs of 15 bps are deducted", opening + "Nothing alike", opening + "12 BPS: deducted costs", "12 15", "30"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r["class"], r.matched_id) for r in doc_dedupe_whole(spark, str(tmp_path)).collect()}
+    assert got == {0: ("NEW", -1), 1: ("NEW", -1), 2: ("NEW", -1), 3: ("VARIANT", 1), 4: ("NEW", -1), 5: ("DUPLICATE", 0), 6: ("NEW", -1), 7: ("NEW", -1)}
