@@ -111,3 +111,15 @@ def test_variants_by_the_whole_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r["class"], r.matched_id) for r in doc_dedupe_whole(spark, str(tmp_path)).collect()}
     assert got == {0: ("NEW", -1), 1: ("NEW", -1), 2: ("NEW", -1), 3: ("VARIANT", 1), 4: ("NEW", -1), 5: ("DUPLICATE", 0), 6: ("NEW", -1), 7: ("NEW", -1)}
+
+
+def test_quotes_of_any_length(spark, tmp_path):
+    from docloom.plans import quotes
+
+    long = "A " + "very " * 80 + "long one with 7 parts."
+    spark.createDataFrame([(1, [(f"Costs rise. {long}",), ("Up 3%.",)])], "result_id long, blocks array<struct<text:string>>").write.parquet(str(tmp_path / "handler_results.parquet"))
+    spark.createDataFrame([(2, 1, f"[p.1] Costs rise. {long}\n[p.2] Up 4%. Costsrise. {long[:-1]}")], "selection_id long, result_id long, text string").write.parquet(str(tmp_path / "selections.parquet"))
+    of = lambda q: [tuple(r)[1:] for r in sorted(q(spark, str(tmp_path)).collect())]
+    assert [r[0] for r in of(quotes.quotes_grounded)] == ["exact", "exact", "none", "none", "exact"]
+    assert [r[1] for r in of(quotes.quotes_exact_all)] == [True, True, False, False, True] and of(quotes.quotes_exact) == []
+    assert of(quotes.number_support_all) == [(0, 0), (1, 0), (1, 1), (0, 0), (1, 0)]
