@@ -123,3 +123,11 @@ def test_quotes_of_any_length(spark, tmp_path):
     assert [r[0] for r in of(quotes.quotes_grounded)] == ["exact", "exact", "none", "none", "exact"]
     assert [r[1] for r in of(quotes.quotes_exact_all)] == [True, True, False, False, True] and of(quotes.quotes_exact) == []
     assert of(quotes.number_support_all) == [(0, 0), (1, 0), (1, 1), (0, 0), (1, 0)]
+
+
+def test_grounding_keeps_the_words_of_the_value(spark):
+    quote = "The strategy is rebalanced annually and holds 30 stocks from the upper decile of the sorted universe"
+    rows = [(1, 1, quote, SOURCE, "annually"), (2, 1, quote, SOURCE, "30 stocks"), (3, 1, quote, SOURCE, None), (4, 1, quote.replace("annually", "monthly"), SOURCE, "monthly")]
+    df = spark.createDataFrame(rows, "quote_id long, text_id long, quote string, text string, value string")
+    assert {r.quote_id: r.how for r in ground_quotes(df).collect()} == {1: "none", 2: "fuzzy", 3: "fuzzy", 4: "exact"}
+    assert {r.how for r in ground_quotes(df.drop("value")).where("quote_id < 4").collect()} == {"fuzzy"}
