@@ -131,3 +131,12 @@ def test_grounding_keeps_the_words_of_the_value(spark):
     df = spark.createDataFrame(rows, "quote_id long, text_id long, quote string, text string, value string")
     assert {r.quote_id: r.how for r in ground_quotes(df).collect()} == {1: "none", 2: "fuzzy", 3: "fuzzy", 4: "exact"}
     assert {r.how for r in ground_quotes(df.drop("value")).where("quote_id < 4").collect()} == {"fuzzy"}
+
+
+def test_unseen_pairs_of_the_whole_time(spark, tmp_path):
+    from docloom.plans.ledger import ledger_unseen_all
+
+    rows = [(1, 7, "view", 0), (2, 7, "view", 10), (3, 7, "view", 21), (4, 7, "click", 21), (5, 8, "view", 99), (6, 8, "view", 99)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, day int").select("event_id", "user_id", "event_type", F.timestamp_seconds(F.col("day") * 86400).alias("ts"), F.lit(1.0).alias("value"))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r.event_id for r in ledger_unseen_all(spark, str(tmp_path)).collect()) == [1, 3, 4, 5, 6]
