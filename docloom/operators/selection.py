@@ -1,47 +1,50 @@
-"""Choice of text blocks for a reader under a budget of characters."""
+"""Choice of text blocks for a reader under a budget of characters, as built-in expressions on each row's own array."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
+# Blocks taken whatever they say, characters that a further block's label costs, and the length at which a
+# block's keywords count half.
+KEPT_FIRST, LABEL_CHARS, HALF_LENGTH = 2, 16, 2000
 
 
-def choose_blocks(texts: list[str | None], pattern: re.Pattern, budget: int, keep_first: int = 2, overhead: int = 16) -> list[int]:
-    """Positions of the chosen blocks, ascending.
+def keyword_hits(text: Column, keywords: list[str]) -> Column:
+    """How often the keywords occur in ``text``, case ignored, overlapping ones by the first in the list."""
+    wanted = "|".join(rf"\Q{k}\E" for k in keywords)
+    return F.regexp_count(text, F.lit(f"(?iu)(?:{wanted})")) if keywords else F.lit(0)
 
-    The first ``keep_first`` non-blank blocks are always taken; the others by falling keyword density, in order among
-    equals, as long as they fit. A block that is too big is passed over, and smaller ones behind it may still fit.
+
+def chosen_blocks(texts: Column, keywords: list[str], budget: int) -> Column:
+    """Ascending positions of the blocks that are taken.
+
+    Blank blocks are never taken. The others compete by keyword density in a fold over the array sorted by density: one
+    that no longer fits is passed over, and what follows may still fit. Ties keep the document's order.
     """
-    solid = [k for k, t in enumerate(texts) if t and t.strip()]
-    chosen = set(solid[:keep_first])
-    used = sum(len(texts[k]) for k in chosen)
-    density = {k: len(pattern.findall(texts[k])) / (1 + len(texts[k]) / 2000) for k in solid[keep_first:]}
-    for k in sorted((k for k in density if density[k] > 0), key=lambda k: -density[k]):
-        if used + len(texts[k]) + overhead <= budget:
-            chosen.add(k)
-            used += len(texts[k]) + overhead
-    return sorted(chosen)
+    some = F.coalesce(texts, F.array().cast("array<string>"))
+    solid = F.filter(F.transform(some, lambda t, i: F.struct(i.alias("at"), t.alias("text"))), lambda b: F.trim(F.regexp_replace(b["text"], r"\s+", " ")) != "")
+    sized = F.transform(solid, lambda b: F.struct(b["at"].alias("at"), F.length(b["text"]).alias("chars"), keyword_hits(b["text"], keywords).alias("hits")))
+    first = F.slice(sized, 1, KEPT_FIRST)
+    rest = F.filter(F.slice(sized, KEPT_FIRST + 1, 1 << 30), lambda b: b["hits"] > 0)
+    ranked = F.array_sort(F.transform(rest, lambda b: F.struct((-b["hits"] * HALF_LENGTH / (HALF_LENGTH + b["chars"])).alias("rank"), b["at"].alias("at"), b["chars"].alias("chars"))))
+    begun = F.struct(F.aggregate(first, F.lit(0), lambda n, b: n + b["chars"]).alias("used"), F.transform(first, lambda b: b["at"]).alias("taken"))
+
+    def take(state: Column, b: Column) -> Column:
+        used = state["used"] + b["chars"] + LABEL_CHARS
+        return F.when(used <= budget, F.struct(used.alias("used"), F.array_append(state["taken"], b["at"]).alias("taken"))).otherwise(state)
+
+    return F.array_sort(F.aggregate(ranked, begun, take)["taken"])
 
 
 def select_relevant(df: DataFrame, key: str, texts: str, keywords: list[str], budget: int) -> DataFrame:
-    """(key, chosen: array<int>, n_blocks, chars): the blocks of each row chosen by ``choose_blocks``.
+    """(key, chosen: array<int>, n_blocks, chars): the blocks of each row chosen by ``chosen_blocks``.
 
-    ``texts`` is an array<string>; null arrays count as empty and give an empty choice; repeated rows are judged each; no
-    shuffle, since every file is one row.
+    ``texts`` is an array<string>; null arrays count as empty and give an empty choice, as do arrays of null or blank
+    texts; repeated rows are judged each; an empty table gives no rows; other columns are ignored. No shuffle and no
+    Python, since every file is one row.
     """
-    source = "|".join(re.escape(k) for k in keywords)
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pattern = re.compile(source, re.I)
-        for pdf in batches:
-            rows = []
-            for k, arr in zip(pdf[key], pdf[texts], strict=True):
-                arr = [] if arr is None else list(arr)
-                at = choose_blocks(arr, pattern, budget)
-                rows.append((k, at, len(arr), sum(len(arr[i]) for i in at)))
-            yield pd.DataFrame(rows, columns=[key, "chosen", "n_blocks", "chars"])
-
-    return df.select(key, texts).mapInPandas(choose, f"{key} long, chosen array<int>, n_blocks int, chars int")
+    some = F.coalesce(F.col(texts), F.array().cast("array<string>"))
+    rows = df.select(F.col(key), some.alias("texts")).withColumn("picked", chosen_blocks(F.col("texts"), keywords, budget))
+    chars = F.aggregate("picked", F.lit(0), lambda n, i: n + F.length(F.get("texts", i)))
+    return rows.select(key, F.col("picked").alias("chosen"), F.size("texts").alias("n_blocks"), chars.alias("chars"))

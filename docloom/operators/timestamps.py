@@ -37,6 +37,7 @@ ZONE_LETTERS = {
 }
 BUCKET_S = 1 << 25
 EPOCH_DAY = dt.date(1970, 1, 1)
+FIRST_BUCKET = -5_364_662_400 // BUCKET_S + 1  # behind the start of 1800, so that every zone has it
 INTERVAL_SCHEMA = "tz string, bucket long, local_start long, local_end long, next_start long, utc_start long, offset_s long"
 
 
@@ -108,7 +109,7 @@ def parse_date_text(text: str | None, day_first: bool | None) -> tuple:
     its second of the day; offset_s: the offset that the text states; tz: the zone that it names. Numeric dates with
     slashes and the year last follow ``day_first``; where that is None, only numbers above 12 decide.
     """
-    if not text or len(text) > 200:
+    if not text:
         return NOTHING
     s = WEEKDAY.sub("", PREFIX.sub("", " ".join(text.split())))
     if m := EPOCH.match(s):
@@ -163,11 +164,15 @@ def _iso(day: Column) -> Column:
     return F.date_from_unix_date(day.cast("int")).cast("string")
 
 
-def _zone_intervals(batches: Iterator[pd.DataFrame], years: tuple[int, int]) -> Iterator[pd.DataFrame]:
+FIRST_YEAR, LAST_YEAR = 1800, 2102
+ALWAYS = -(1 << 40)  # before every date
+
+
+def _zone_intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from zoneinfo import ZoneInfo
 
     utc = dt.timezone.utc
-    lo, hi = (int(dt.datetime(y, 1, 1, tzinfo=utc).timestamp()) for y in years)
+    lo, hi = (int(dt.datetime(y, 1, 1, tzinfo=utc).timestamp()) for y in (FIRST_YEAR, LAST_YEAR))
     for pdf in batches:
         rows = []
         for name in pdf["tz"].dropna().unique():
@@ -193,23 +198,40 @@ def _zone_intervals(batches: Iterator[pd.DataFrame], years: tuple[int, int]) ->
                 nxt = end + (cuts[i + 1][1] if i + 1 < len(cuts) else off)
                 start, stop = u + off, end + off
                 for k in range(start // BUCKET_S, max(stop, nxt) // BUCKET_S + 1):
-                    rows.append((name, k, start, stop, nxt, u, off))
+                    rows.append((name, k, start if i else ALWAYS, stop, nxt, u, off))
         yield pd.DataFrame(rows, columns=["tz", "bucket", "local_start", "local_end", "next_start", "utc_start", "offset_s"])
 
 
-def zone_intervals(zones: DataFrame, years: tuple[int, int] = (1900, 2101)) -> DataFrame:
+def zone_intervals(zones: DataFrame) -> DataFrame:
     """Zone-offset intervals of every distinct name in column ``tz``, exploded over buckets of local time.
 
-    There are some 600 zone names in all, so the result is bounded by about 600 * 200 short arrays whatever the input.
+    They reach from before every date, as no zone changed before FIRST_YEAR, to LAST_YEAR; ``in_known_years`` maps later
+    dates into them. There are some 600 zone names in all, so the result is bounded by about 600 * 300 short arrays
+    whatever the input.
     """
-    rows = zones.select("tz").where("tz IS NOT NULL").distinct().mapInPandas(lambda b: _zone_intervals(b, years), INTERVAL_SCHEMA)
+    rows = zones.select("tz").where("tz IS NOT NULL").distinct().mapInPandas(_zone_intervals, INTERVAL_SCHEMA)
     return rows.groupBy("tz", "bucket").agg(F.collect_list(F.struct("utc_start", "local_start", "local_end", "next_start", "offset_s")).alias("intervals"))
 
 
-def normalize_timestamps(df: DataFrame, text: str, tz: str, day_first: str, out: str = "published_utc") -> DataFrame:
+def in_known_years(day: Column) -> Column:
+    """``day`` (days since 1970), from LAST_YEAR - 1 on moved to the year after 2050 that begins on the same weekday and has
+    as many days: all zones repeat by weekday rules there, so its offset is the same."""
+    date = F.date_from_unix_date(day.cast("int"))
+    like: dict[tuple[int, bool], int] = {}
+    for y in range(2050, 2090):
+        like.setdefault((dt.date(y, 1, 1).isoweekday(), dt.date(y, 12, 31).timetuple().tm_yday == 366), y)
+    first, last = F.make_date(F.year(date), F.lit(1), F.lit(1)), F.make_date(F.year(date), F.lit(12), F.lit(31))
+    kind = F.weekday(first) * 2 + F.when(F.dayofyear(last) == 366, 1).otherwise(0)
+    start = F.create_map(*[F.lit(x) for (weekday, leap), y in sorted(like.items()) for x in ((weekday - 1) * 2 + leap, (dt.date(y, 1, 1) - EPOCH_DAY).days)])
+    return F.when(F.year(date) >= LAST_YEAR - 1, F.element_at(start, kind) + F.dayofyear(date) - 1).otherwise(day)
+
+
+def normalize_timestamps(df: DataFrame, text: str, tz: str, day_first: str, out: str = "published_utc", zones: DataFrame | None = None) -> DataFrame:
     """Each row of ``df`` with ``out`` (text at its own precision, times in UTC) and ``<out>_status``.
 
-    ``tz`` and ``day_first`` name the columns with the row's own zone and order of day and month. Status: ``date``,
+    ``tz`` and ``day_first`` name the columns with the row's own zone and order of day and month; ``zones``, where at hand,
+    is a small table whose column ``tz`` has every zone of ``df``, which then is not read for them. Texts of any length and
+    dates of the years 1 to 9999 are read. Status: ``date``,
     ``exact`` (offset in the text), ``zone`` (one interval), ``ambiguous`` (two: the earlier instant), ``nonexistent``
     (moved forward by the gap), ``no_zone`` (time without any known zone: null) or ``unread`` (null text, relative
     wording, impossible dates: null). Rows are kept one for one, repeated rows too; an empty input gives no rows;
@@ -220,13 +242,15 @@ def normalize_timestamps(df: DataFrame, text: str, tz: str, day_first: str, out:
     local = F.col("p.day") * 86400 + F.col("p.tod")
     zone = F.coalesce(F.col("p.tz"), F.col("site_tz"))
     parsed = parsed.withColumns({"local": local, "zone": F.when(F.col("p.offset_s").isNull() & local.isNotNull(), zone)})
-    parsed = parsed.withColumn("bucket", F.when(F.col("zone").isNotNull(), F.floor(F.col("local") / BUCKET_S)))
+    known = F.when(F.col("zone").isNotNull(), in_known_years(F.col("p.day")) * 86400 + F.col("p.tod"))
+    parsed = parsed.withColumn("known", known).withColumn("bucket", F.greatest(F.floor(F.col("known") / BUCKET_S), F.lit(FIRST_BUCKET)))
     named = df.select(F.regexp_extract(F.col(text), ZONE_NAME, 1).alias("tz")).where("tz <> ''")
-    intervals = zone_intervals(named.unionByName(df.select(F.col(tz).alias("tz"))).distinct())
+    own = df.select(F.col(tz).alias("tz")) if zones is None else zones.select("tz")
+    intervals = zone_intervals(named.unionByName(own).distinct())
     joined = parsed.join(F.broadcast(intervals.withColumnsRenamed({"tz": "zone"})), ["zone", "bucket"], "left")
-    t = F.col("local")
-    inside = F.filter("intervals", lambda i: (i["local_start"] <= t) & (t < i["local_end"]))
-    gap = F.filter("intervals", lambda i: (i["local_end"] <= t) & (t < i["next_start"]))
+    t, k = F.col("local"), F.col("known")
+    inside = F.filter("intervals", lambda i: (i["local_start"] <= k) & (k < i["local_end"]))
+    gap = F.filter("intervals", lambda i: (i["local_end"] <= k) & (k < i["next_start"]))
     best = F.coalesce(F.get(F.array_sort(inside), F.lit(0)), F.get(gap, F.lit(0)))
     joined = joined.withColumns({"n": F.size(inside), "best": best})
     utc = t - F.coalesce(F.col("p.offset_s"), F.col("best.offset_s"))

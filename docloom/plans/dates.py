@@ -14,7 +14,7 @@ def dated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every delivery of a candidate with its publication date in UTC; zone and day order come from the url's site."""
     cands = table(spark, sf_dir, "candidates").select("candidate_id", "publication_date", host_of("url").alias("host"))
     sites = table(spark, sf_dir, "feed_sites").groupBy(F.lower("host").alias("host")).agg(F.min("tz").alias("tz"), F.min("day_first").alias("day_first"))
-    return normalize_timestamps(cands.join(sites, "host", "left"), "publication_date", "tz", "day_first")
+    return normalize_timestamps(cands.join(sites, "host", "left"), "publication_date", "tz", "day_first", zones=sites)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

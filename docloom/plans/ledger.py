@@ -55,17 +55,7 @@ def ledger_search_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_unseen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the last fifth of the time whose user and type did not occur in the ten days before: an anti join on time."""
-    e = ledger(spark, sf_dir).select("event_id", "user_id", "event_type", F.unix_timestamp("ts").alias("t"))
-    span = e.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    late = e.join(F.broadcast(span), F.col("t") >= F.col("b") - F.floor((F.col("b") - F.col("a")) / 5)).select("event_id", "user_id", "event_type", "t")
-    w = Window.partitionBy("user_id", "event_type").orderBy("t").rangeBetween(-10 * 86400, -1)
-    seen = e.withColumn("before", F.count("*").over(w)).where("before = 0").select("event_id")
-    return late.join(seen, "event_id", "left_semi").select("event_id", "user_id", "event_type")
-
-
-def ledger_unseen_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ledger_unseen_pairs, for the events of the whole time."""
+    """Events whose user and type did not occur in the ten days before: an anti join on time, as one window."""
     w = Window.partitionBy("user_id", "event_type").orderBy("t").rangeBetween(-10 * 86400, -1)
     e = ledger(spark, sf_dir).select("event_id", "user_id", "event_type", F.unix_timestamp("ts").alias("t"))
     return e.withColumn("before", F.count("*").over(w)).where("before = 0").select("event_id", "user_id", "event_type")
@@ -128,7 +118,7 @@ def customers_without_large_orders(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     q.__name__: q
     for q in (
-        ledger_rollup, ledger_projection, ledger_cost_per_user, ledger_budget_prefix, ledger_daily_caps, ledger_search_memory, ledger_unseen_pairs, ledger_unseen_all, ledger_latest,
+        ledger_rollup, ledger_projection, ledger_cost_per_user, ledger_budget_prefix, ledger_daily_caps, ledger_search_memory, ledger_unseen_pairs, ledger_latest,
         ledger_transitions, ledger_stalled, ledger_last_events, ledger_props, spend_by_segment, pricing_summary, customers_without_large_orders,
     )
 }
@@ -148,9 +138,7 @@ ran AS (SELECT user_id, event_type, ts, event_id, k, ts AS last_run, TRUE AS run
 UNION ALL SELECT e.user_id, e.event_type, e.ts, e.event_id, e.k, CASE WHEN e.ts >= r.last_run + INTERVAL 5 DAY THEN e.ts ELSE r.last_run END, e.ts >= r.last_run + INTERVAL 5 DAY
 FROM ran r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.k = r.k + 1)
 SELECT user_id, event_type, count(*) AS ran, min(event_id) AS first_id FROM ran WHERE runs GROUP BY ALL""",
-    "ledger_unseen_pairs": """WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), s AS (SELECT min(t) AS a, max(t) AS b FROM e)
-SELECT event_id, user_id, event_type FROM e, s WHERE t >= b - floor((b - a) / 5) AND NOT EXISTS (SELECT 1 FROM e x WHERE x.user_id = e.user_id AND x.event_type = e.event_type AND x.t BETWEEN e.t - 864000 AND e.t - 1)""",
-    "ledger_unseen_all": """WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)
+    "ledger_unseen_pairs": """WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)
 SELECT event_id, user_id, event_type FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.user_id = e.user_id AND x.event_type = e.event_type AND x.t BETWEEN e.t - 864000 AND e.t - 1)""",
     "ledger_latest": f"SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(cents, (ts, event_id)) AS cents FROM {_E} GROUP BY ALL",
     "ledger_transitions": "SELECT from_type, event_type AS to_type, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_type FROM events) WHERE from_type IS NULL OR from_type <> event_type GROUP BY ALL",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import collapse, sentences
@@ -11,61 +13,47 @@ from docloom.tables import table
 
 
 def selection_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence of a selection that is not blank, whatever its length, beside the whole text of the file it was chosen from."""
+    """(text_id, text, quotes): every sentence of a selection that is not blank, whatever its length, beside the whole text of
+    the file that the selection comes from, which is there once for all of them."""
     texts = table(spark, sf_dir, "handler_results").select("result_id", F.array_join("blocks.text", "\n").alias("text"))
-    quotes = table(spark, sf_dir, "selections").select("selection_id", "result_id", F.posexplode(sentences(F.regexp_replace("text", r"\[[^\]\n]*\] ", "\n"))).alias("pos", "quote"))
-    quotes = quotes.where("quote <> ''").withColumn("quote_id", F.col("selection_id") * 10000 + F.col("pos"))
-    return quotes.join(texts, "result_id").select("quote_id", F.col("result_id").alias("text_id"), "quote", "text")
-
-
-MIDDLE = "length(quote) BETWEEN 60 AND 300"
-
-
-def _exact(q: DataFrame) -> DataFrame:
-    return q.select("quote_id", "text_id", F.lower(collapse(F.col("text"))).contains(F.lower(collapse(F.col("quote")))).alias("found"))
+    parts = sentences(F.regexp_replace("text", r"\[[^\]\n]*\] ", "\n"))
+    numbered = F.transform(parts, lambda q, i: F.struct((F.col("selection_id") * 10000 + i).alias("quote_id"), q.alias("quote")))
+    quotes = table(spark, sf_dir, "selections").select("result_id", F.filter(numbered, lambda q: q["quote"] != "").alias("quotes"))
+    return quotes.join(texts, "result_id").select(F.col("result_id").alias("text_id"), "text", "quotes")
 
 
-def _support(q: DataFrame) -> DataFrame:
-    nums = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.col(c), F.lit(r"([0-9]+(?:[.,][0-9]+)?)"), 1), lambda n: F.replace(n, F.lit(","), F.lit("."))))
-    return q.select("quote_id", F.size(nums("quote")).cast("long").alias("numbers"), F.size(F.array_except(nums("quote"), nums("text"))).cast("long").alias("unsupported"))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, also where ``use`` refers to it inside a loop over an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def quotes_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes of 60 to 300 characters that occur word for word, blanks collapsed and case ignored."""
-    return _exact(selection_quotes(spark, sf_dir).where(MIDDLE))
-
-
-def quotes_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As quotes_exact, for quotes of any length."""
-    return _exact(selection_quotes(spark, sf_dir))
+    """Quotes that occur word for word, blanks collapsed and case ignored."""
+    check = lambda text: F.transform("quotes", lambda x: F.struct(x["quote_id"].alias("quote_id"), text.contains(F.lower(collapse(x["quote"]))).alias("found")))
+    q = selection_quotes(spark, sf_dir).select("text_id", F.inline(once(F.lower(collapse(F.col("text"))), check)))
+    return q.select("quote_id", "text_id", "found")
 
 
 def quotes_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes verbatim, with other spacing, nearly so, or not at all."""
-    return ground_quotes(selection_quotes(spark, sf_dir).sortWithinPartitions("text_id"))
+    return ground_quotes(selection_quotes(spark, sf_dir))
 
 
 def number_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether all numbers of a quote of 60 to 300 characters occur in its text, decimal commas read as points."""
-    return _support(selection_quotes(spark, sf_dir).where(MIDDLE))
-
-
-def number_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As number_support, for quotes of any length."""
-    return _support(selection_quotes(spark, sf_dir))
+    """Whether all numbers of a quote occur in its text, decimal commas read as points."""
+    nums = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"([0-9]+(?:[.,][0-9]+)?)"), 1), lambda n: F.replace(n, F.lit(","), F.lit("."))))
+    check = lambda known: F.transform("quotes", lambda x: F.struct(x["quote_id"].alias("quote_id"), F.size(nums(x["quote"])).cast("long").alias("numbers"), F.size(F.array_except(nums(x["quote"]), known)).cast("long").alias("unsupported")))
+    return selection_quotes(spark, sf_dir).select(F.inline(once(nums(F.col("text")), check)))
 
 
-QUERIES = {q.__name__: q for q in (quotes_exact, quotes_exact_all, quotes_grounded, number_support, number_support_all)}
+QUERIES = {q.__name__: q for q in (quotes_exact, quotes_grounded, number_support)}
 _C = lambda c: f"trim(regexp_replace({c}, '[ \t\r\n]+', ' ', 'g'))"
 _Q = rf"""WITH t AS (SELECT result_id, array_to_string(list_transform(blocks, lambda b: b.text), chr(10)) AS text FROM handler_results),
 s AS (SELECT selection_id, result_id, string_split(regexp_replace({_C(r"regexp_replace(text, '\[[^\]\n]*\] ', chr(10), 'g')")}, '([.!?]) +([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM selections),
 e AS (SELECT selection_id, result_id, unnest(range(len(parts))) AS pos, unnest(parts) AS quote FROM s),
-q AS (SELECT selection_id * 10000 + pos AS quote_id, result_id AS text_id, quote, text FROM e JOIN t USING (result_id) WHERE length(quote) BETWEEN 60 AND 300)"""
-_ALL = _Q.replace(MIDDLE, "quote <> ''")
+q AS (SELECT selection_id * 10000 + pos AS quote_id, result_id AS text_id, quote, text FROM e JOIN t USING (result_id) WHERE quote <> '')"""
 _N = lambda c: f"list_distinct(list_transform(regexp_extract_all({c}, '[0-9]+(?:[.,][0-9]+)?'), lambda n: replace(n, ',', '.')))"
 SQL = {
     "quotes_exact": f"{_Q} SELECT quote_id, text_id, contains(lower({_C('text')}), lower({_C('quote')})) AS found FROM q",
-    "quotes_exact_all": f"{_ALL} SELECT quote_id, text_id, contains(lower({_C('text')}), lower({_C('quote')})) AS found FROM q",
     "number_support": f"{_Q} SELECT quote_id, len({_N('quote')}) AS numbers, len(list_filter({_N('quote')}, lambda n: NOT list_contains({_N('text')}, n))) AS unsupported FROM q",
-    "number_support_all": f"{_ALL} SELECT quote_id, len({_N('quote')}) AS numbers, len(list_filter({_N('quote')}, lambda n: NOT list_contains({_N('text')}, n))) AS unsupported FROM q",
 }

@@ -168,10 +168,14 @@ def reparsed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("parses > 1")
 
 
+CHOSEN_BY = ["cost", "drawdown", "signal", "threshold", "holdout", "stop-loss", "turnover"]
+
+
 def selection_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy choice of each file's blocks under a budget of characters, by keyword density (a fold for each file)."""
     r = table(spark, sf_dir, "handler_results").select("result_id", F.col("blocks.text").alias("texts"))
-    return select_relevant(r, "result_id", "texts", ["cost", "drawdown", "signal", "threshold", "holdout", "stop-loss", "turnover"], 6000)
+    chosen = select_relevant(r, "result_id", "texts", CHOSEN_BY, 6000)
+    return chosen.select("result_id", F.concat_ws(",", F.col("chosen").cast("array<string>")).alias("chosen"), F.col("n_blocks").cast("long").alias("n_blocks"), F.col("chars").cast("long").alias("chars"))
 
 
 def selection_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +228,13 @@ _canon = lambda c: _CANON.replace("{0}", c)
 _INJ = "ignore (all |any )?(the )?(previous|prior|above) (instructions|prompts|messages)|disregard (all |any )?(the )?(previous|prior|above|system)|forget (all |your )?(previous |prior )?instructions|you are now (a|an|the) |new (system )?instructions?:|(reveal|print|show|output) (your|the) (system prompt|instructions|api key|credentials|secrets?)|(run|execute) (the following|this) (command|code|script)|< */? *(system|assistant) *>|begin (system|admin) prompt|(disable|turn off|bypass) (the )?(safety|guardrails|rate limits?|restrictions)"
 _TIERS = ", ".join(f"('{d}', {t})" for d, t in TEST_TIERS.items())
 SQL = {
+    "selection_blocks": f"""WITH RECURSIVE b AS (SELECT result_id, i - 1 AS pos, blocks[i].text AS t FROM (SELECT result_id, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM handler_results)),
+solid AS (SELECT result_id, pos, length(t) AS chars, len(regexp_extract_all(lower(t), '{"|".join(CHOSEN_BY)}')) AS hits, row_number() OVER (PARTITION BY result_id ORDER BY pos) AS n FROM b WHERE trim(regexp_replace(t, '\\s+', ' ', 'g')) <> ''),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY -hits * 2000 / (2000 + chars), pos) AS k FROM solid WHERE n > 2 AND hits > 0),
+fold AS (SELECT r.result_id, 0 AS k, coalesce(sum(chars), 0)::BIGINT AS used, coalesce(list(pos) FILTER (WHERE pos IS NOT NULL), []) AS taken FROM handler_results r LEFT JOIN solid s ON s.result_id = r.result_id AND n <= 2 GROUP BY 1
+  UNION ALL SELECT f.result_id, f.k + 1, CASE WHEN used + chars + 16 <= 6000 THEN used + chars + 16 ELSE used END, CASE WHEN used + chars + 16 <= 6000 THEN list_append(taken, pos) ELSE taken END FROM fold f JOIN ranked r ON r.result_id = f.result_id AND r.k = f.k + 1),
+done AS (SELECT result_id, list_sort(arg_max(taken, k)) AS taken FROM fold GROUP BY 1)
+SELECT result_id, array_to_string(taken, ',') AS chosen, coalesce(len(blocks), 0) AS n_blocks, coalesce(list_sum(list_transform(taken, lambda i: length(blocks[i + 1].text))), 0)::BIGINT AS chars FROM done JOIN handler_results USING (result_id)""",
     "candidate_latest": """SELECT candidate_id, connector, title, coalesce(campaign_id, -1) AS campaign_id, n AS deliveries FROM (SELECT *, count(*) OVER (PARTITION BY candidate_id) AS n,
 row_number() OVER (PARTITION BY candidate_id ORDER BY loaded_at DESC) AS k FROM candidates) WHERE k = 1""",
     "url_canonical": f"SELECT url, {_canon('url')} AS canonical, {_HOST.format('url')} AS host FROM (SELECT DISTINCT url FROM candidates WHERE url IS NOT NULL)",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import NOT_DONE, OWN_WORK, SIGNALS, STOP_WORDS, collapse, glued_share, sentences, signals_of, word_set
 from docloom.operators.dedupe import classify_duplicates
+from docloom.sources.payloads import abstract_of_index
 from docloom.tables import materialize, table
 
 
@@ -35,21 +36,16 @@ def doc_signal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_token_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(word_set(F.col("text")), 256).alias("fingerprint"), F.length(word_set(F.col("text"))).cast("long").alias("key_length"))
+    keyed = table(spark, sf_dir, "documents").select("doc_id", word_set(F.col("text")).alias("words"))
+    return keyed.select("doc_id", F.sha2("words", 256).alias("fingerprint"), F.length("words").cast("long").alias("key_length"))
 
 
 def doc_dedupe_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DUPLICATE of the first document of the same words, VARIANT of the first with the same first 40 characters, or NEW."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(word_set(F.col("text")), 256).alias("full"), F.lower(F.substring(collapse(F.col("text")), 1, 40)).alias("core"))
-    classes = classify_duplicates(materialize(docs), "doc_id", "full", "core")  # the keys are used three times
-    return classes.select("doc_id", "class", F.coalesce("matched_id", F.lit(-1)).alias("matched_id"))
-
-
-def doc_dedupe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As doc_dedupe_class, but VARIANT of the first with the same words once their digits are dropped, whatever it begins with."""
-    words = word_set(F.col("text"))
-    core = F.trim(F.regexp_replace(F.regexp_replace(words, "[0-9]+", ""), " +", " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(words, 256).alias("full"), F.when(core != "", F.sha2(core, 256)).alias("core"))
+    """DUPLICATE of the first document of the same words, VARIANT of the first with the same words once their digits are
+    dropped, or NEW; the keys are made of the whole text."""
+    keyed = table(spark, sf_dir, "documents").select("doc_id", word_set(F.col("text")).alias("words"))
+    core = F.trim(F.regexp_replace(F.regexp_replace("words", "[0-9]+", ""), " +", " "))
+    docs = keyed.select("doc_id", F.sha2("words", 256).alias("full"), F.when(core != "", F.sha2(core, 256)).alias("core"))
     classes = classify_duplicates(materialize(docs), "doc_id", "full", "core")  # the keys are used three times
     return classes.select("doc_id", "class", F.coalesce("matched_id", F.lit(-1)).alias("matched_id"))
 
@@ -75,11 +71,13 @@ def doc_glued_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_rebuilt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text from an inverted index of word positions, as catalogues ship abstracts."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(collapse(F.col("text")), " ")).alias("pos", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
-    spread = index.select("doc_id", F.explode("at").alias("pos"), "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("words"))
-    return spread.select("doc_id", F.sha2(F.array_join(F.transform("words", lambda w: w["word"]), " "), 256).alias("text_hash"))
+    """Text from an inverted index of word positions, as catalogues ship abstracts. The texts move once, by document; both
+    steps that build the index keep that partitioning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    words = docs.select("doc_id", F.posexplode(F.split(collapse(F.col("text")), " ")).alias("pos", "word"))
+    places = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
+    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+    return index.select("doc_id", F.sha2(abstract_of_index(F.col("index")), 256).alias("text_hash"))
 
 
 def doc_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +93,7 @@ def doc_label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source").agg(F.count("*").alias("documents"), F.count("labels").alias("labelled"), F.count_if(F.col("kinds") > 1).alias("disputed"))
 
 
-QUERIES = {q.__name__: q for q in (doc_sentences, doc_sentence_signals, doc_signal_sets, doc_token_fingerprint, doc_dedupe_class, doc_dedupe_whole, doc_source_overlap, doc_complexity, doc_glued_share, doc_rebuilt_text, doc_exact_copies, doc_label_agreement)}
+QUERIES = {q.__name__: q for q in (doc_sentences, doc_sentence_signals, doc_signal_sets, doc_token_fingerprint, doc_dedupe_class, doc_source_overlap, doc_complexity, doc_glued_share, doc_rebuilt_text, doc_exact_copies, doc_label_agreement)}
 
 _COLLAPSED = r"trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))"
 _SENTENCES = rf"""
@@ -121,11 +119,7 @@ SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(said, own))),
   array_to_string(list_sort(list_intersect(said, own)), ',') AS own_signal,
   array_to_string(list_sort(list_filter(said, lambda x: NOT list_contains(own, x))), ',') AS only_said FROM pair""",
     "doc_token_fingerprint": f"SELECT doc_id, sha256({_WORDS}) AS fingerprint, length({_WORDS}) AS key_length FROM documents",
-    "doc_dedupe_class": f"""WITH k AS (SELECT doc_id, {_WORDS} AS f, lower(substring({_COLLAPSED}, 1, 40)) AS c FROM documents),
-w AS (SELECT doc_id, c, min(doc_id) OVER (PARTITION BY f) AS df, min(doc_id) OVER (PARTITION BY c) AS dc FROM k)
-SELECT doc_id, CASE WHEN df < doc_id THEN 'DUPLICATE' WHEN c <> '' AND dc < doc_id THEN 'VARIANT' ELSE 'NEW' END AS class,
-  CASE WHEN df < doc_id THEN df WHEN c <> '' AND dc < doc_id THEN dc ELSE -1 END AS matched_id FROM w""",
-    "doc_dedupe_whole": f"""WITH k AS (SELECT doc_id, f, trim(regexp_replace(regexp_replace(f, '[0-9]+', '', 'g'), ' +', ' ', 'g')) AS c FROM (SELECT doc_id, {_WORDS} AS f FROM documents)),
+    "doc_dedupe_class": f"""WITH k AS (SELECT doc_id, f, trim(regexp_replace(regexp_replace(f, '[0-9]+', '', 'g'), ' +', ' ', 'g')) AS c FROM (SELECT doc_id, {_WORDS} AS f FROM documents)),
 w AS (SELECT doc_id, c, min(doc_id) OVER (PARTITION BY f) AS df, min(doc_id) OVER (PARTITION BY c) AS dc FROM k)
 SELECT doc_id, CASE WHEN df < doc_id THEN 'DUPLICATE' WHEN c <> '' AND dc < doc_id THEN 'VARIANT' ELSE 'NEW' END AS class,
   CASE WHEN df < doc_id THEN df WHEN c <> '' AND dc < doc_id THEN dc ELSE -1 END AS matched_id FROM w""",

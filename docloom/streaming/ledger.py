@@ -1,37 +1,58 @@
-"""The event ledger as a stream: daily totals behind a watermark, search memory and budgets as keyed state."""
+"""The event ledger as a stream: daily totals, search memory and budgets as keyed state."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docloom.tables import shared_dir
+from docloom.tables import scratch_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as they arrive as files; times are UTC, and a watermark of one day bounds what is kept for late ones."""
+    """Events as they arrive as files; times are UTC."""
     stream = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parquet*")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that ``stream`` has now, written to a table in the shared folder by one run of micro-batches, and read again."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    at = scratch_path(spark, "streams")
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
+def settled(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The latest row of each key that ``stream``, an aggregation, gives out in update mode, once all that it has now is read.
+
+    Each micro-batch writes its changed rows under its own number, so that a batch run again replaces its rows, and no
+    late row or open window is left out.
+    """
+    spark = stream.sparkSession
+    at = scratch_path(spark, "streams")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    try:
+        rows = spark.read.schema(f"{stream.schema.toDDL()}, batch long").option("basePath", f"{at}/rows").parquet(f"{at}/rows")
+    except AnalysisException:  # the stream had no file, so no batch ran
+        rows = spark.createDataFrame([], f"{stream.schema.toDDL()}, batch long")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+
+
 def daily_ledger(events: DataFrame) -> DataFrame:
-    """Count and cents of each type and day; a day is given out once the watermark has passed its end."""
+    """Count and cents of each type and day. The state is one row a type and day, so it needs no watermark to stay small."""
     cents = F.round(F.col("value") * 100).cast("long")
     days = events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("calls"), F.sum(cents).alias("cents"))
     return days.select("event_type", F.col("window.start").alias("day"), "calls", "cents")
@@ -85,8 +106,8 @@ def paced_hosts(events: DataFrame, spacing_ms: int, errors: int, pause_ms: int)
         free, failed = state.get if state.exists else (0, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
-        for event, ts, kind in zip(rows["event_id"], rows["ts"], rows["event_type"], strict=True):
-            now = int(pd.Timestamp(ts).timestamp() * 1000)
+        clock = rows["ts"].astype("datetime64[us]").astype("int64") // 1000
+        for event, now, kind in zip(rows["event_id"], clock.tolist(), rows["event_type"], strict=True):
             start = max(now, free)
             failed = failed + 1 if kind == "error" else 0
             closed = failed >= errors

@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as the session names it in spark.checkpoint.dir.
 
-    Where the setting is absent (tests on one machine) a temporary folder is made and set.
+    Where the setting is absent and the session runs on this machine alone, a temporary folder is made and set; on a
+    cluster its absence is an error, since no machine's own folder is shared.
     """
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not conf and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not conf:
         conf = "file://" + tempfile.mkdtemp(prefix=f"docloom-{os.getpid()}-")
         spark.conf.set("spark.checkpoint.dir", conf)
@@ -39,16 +42,21 @@ def materialize(df: DataFrame) -> DataFrame:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a compressed table in the shared folder and read again; for results too wide for a checkpoint,
-    whose files are not compressed. The tables are removed when the program ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed with all below it when the program ends."""
+    path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_remove_written)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder and read again; for results too wide for a checkpoint,
+    whose files are not compressed."""
+    path = scratch_path(df.sparkSession, "tables")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove_written() -> None:

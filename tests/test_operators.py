@@ -1,4 +1,3 @@
-import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,8 +6,8 @@ from pyspark.sql import functions as F
 from docloom.functions.text import injection_phrases, location_label, sentences, word_set
 from docloom.functions.url import canonical_url, host_of, parent_domains, url_identifiers
 from docloom.operators.dedupe import classify_duplicates, fill_unknown
-from docloom.operators.grounding import Text, ground_quotes
-from docloom.operators.selection import choose_blocks, select_relevant
+from docloom.operators.grounding import Page, common_order, ground_quotes
+from docloom.operators.selection import select_relevant
 from docloom.operators.state import budget_prefix, search_memory
 
 URLS = {
@@ -63,53 +62,84 @@ def test_search_memory_restarts_from_the_last_that_ran(spark):
     assert search_memory(df.limit(0), ["k"], "ts", "id", 10).count() == 0
 
 
+def chosen(spark, rows, keywords, budget):
+    df = spark.createDataFrame([(k, t, "e") for k, t in enumerate(rows)], "id long, texts array<string>, chosen string")
+    return [list(r.chosen) for r in sorted(select_relevant(df, "id", "texts", keywords, budget).collect(), key=lambda r: r.id)]
+
+
 def test_selection_skips_what_is_too_big(spark):
-    import re
+    texts = ["first", "", None, "second", "key " * 30, "key", "nothing here", "key " * 9 + "x" * 4000, "KEY"]
+    assert chosen(spark, [texts, None, [], texts], ["key"], 100) == [[0, 3, 5, 8], [], [], [0, 3, 5, 8]]
+    assert chosen(spark, [[None, " \n", "a", "b", "c (x", "d"]], ["(x"], 9) == [[2, 3]] and chosen(spark, [["a", "b", "c"]], [], 99) == [[0, 1]]
+
 
-    texts = ["first", "", None, "second", "key " * 30, "key", "nothing here", "key " * 9 + "x" * 4000]
-    assert choose_blocks(texts, re.compile("key"), 100) == [0, 3, 5]
-    df = spark.createDataFrame([(1, texts, "e"), (2, None, "e"), (2, [], "e")], "id long, texts array<string>, chosen string")
-    got = sorted((r.id, list(r.chosen)) for r in select_relevant(df, "id", "texts", ["key"], 100).collect())
-    assert got == [(1, [0, 3, 5]), (2, []), (2, [])]
+def test_selection_against_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for _ in range(60):
+        rows.append([rng.choice(["", "  ", None, "x" * rng.randrange(60), "key " * rng.randrange(9) + "y" * rng.randrange(90)]) for _ in range(rng.randrange(14))])
+    want = []
+    for texts in rows:
+        solid = [i for i, t in enumerate(texts) if t and t.strip()]
+        taken, used = solid[:2], sum(len(texts[i]) for i in solid[:2])
+        score = {i: texts[i].count("key") / (1 + len(texts[i]) / 2000) for i in solid[2:] if "key" in texts[i]}
+        for i in sorted(score, key=lambda i: (-score[i], i)):
+            if used + len(texts[i]) + 16 <= 300:
+                taken, used = [*taken, i], used + len(texts[i]) + 16
+        want.append(sorted(taken))
+    assert chosen(spark, rows, ["key"], 300) == want and any(len(w) > 3 for w in want)
 
 
 SOURCE = "The strategy is re-\nbalanced monthly and holds 30 stocks from the upper decile of the sorted universe. Costs of 12 bps are deducted."
 
 
 def test_grounding():
-    t = Text(SOURCE)
-    assert t.ground("rebalanced Monthly and holds 30 stocks")[0] == "exact"
-    assert t.ground("rebalancedmonthly and holds 30stocks")[0] == "spacing"
-    how, found, share = t.ground("The strategy is rebalanced monthly and holds 30 stocks of the upper decile of the sorted universe")
+    look_up = Page(SOURCE).look_up
+    assert look_up("rebalanced Monthly and holds 30 stocks")[0] == "exact"
+    assert look_up("rebalancedmonthly and holds 30stocks")[0] == "spacing"
+    how, found, share = look_up("The strategy is rebalanced monthly and holds 30 stocks of the upper decile of the sorted universe")
     assert how == "fuzzy" and found.startswith("The strategy") and share > 0.85
-    assert t.ground("The strategy is rebalanced monthly and holds 40 stocks from the upper decile of the sorted universe")[0] == "none"
-    assert t.ground("The strategy is … Costs of 12 bps")[0] == "exact"
-    assert t.ground("holds fifty bonds")[0] == "none" and t.ground("") == ("none", None, 0.0) and Text(None).ground("x")[0] == "none"
+    assert look_up("The strategy is rebalanced monthly and holds 40 stocks from the upper decile of the sorted universe")[0] == "none"
+    assert look_up("The strategy is … Costs of 12 bps")[0] == "exact" and look_up("The strategy is [...] Costs of 13 bps")[0] == "none"
+    assert look_up("holds fifty bonds")[0] == "none" and look_up("") == look_up(None) == look_up(" … ") == ("none", None, 0.0) and Page(None).look_up("x")[0] == "none"
 
 
-def test_grounding_rows(spark):
-    df = spark.createDataFrame([(1, 1, "holds 30 stocks", SOURCE, "e"), (1, 1, "holds 30 stocks", SOURCE, "e"), (2, 2, None, None, "e")], "quote_id long, text_id long, quote string, text string, how string")
-    assert sorted((r.quote_id, r.how) for r in ground_quotes(df).collect()) == [(1, "exact"), (1, "exact"), (2, "none")]
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=9), st.lists(st.integers(0, 4), max_size=12))
+def test_common_order_is_longest(a, b):
+    import itertools
+
+    import numpy as np
 
+    pairs = common_order(np.array(a, np.int64), np.array(b, np.int64))
+    assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(pairs))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(new[-1], row[j]))
+        row = new
+    assert len(pairs) == row[-1]
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab .", max_size=30), max_size=12), st.integers(0, 120))
-def test_selection_keeps_its_budget(texts, budget):
-    import re
 
-    chosen = choose_blocks(texts, re.compile("a"), budget)
-    extra = [k for k in chosen if k not in [i for i, t in enumerate(texts) if t.strip()][:2]]
-    assert chosen == sorted(set(chosen)) and (not extra or sum(len(texts[k]) for k in chosen) + 16 * len(extra) <= budget)
-    json.dumps(chosen)
+QUOTES = "text_id long, text string, quotes array<struct<quote_id: long, quote: string>>, how string"
+
+
+def test_grounding_rows(spark):
+    rows = [(1, SOURCE, [(1, "holds 30 stocks"), (2, None), (3, "  ")], "e"), (1, SOURCE, [(1, "holds 30 stocks")], "e"), (2, None, [(4, "holds")], "e"), (3, SOURCE, None, "e"), (4, SOURCE, [], "e")]
+    df = spark.createDataFrame(rows, QUOTES)
+    assert sorted((r.quote_id, r.how) for r in ground_quotes(df).collect()) == [(1, "exact"), (1, "exact"), (2, "none"), (3, "none"), (4, "none")]
+    assert ground_quotes(df.limit(0)).count() == 0
 
 
 def test_variants_by_the_whole_text(spark, tmp_path):
-    from docloom.plans.texts import doc_dedupe_whole
+    from docloom.plans.texts import doc_dedupe_class
 
     opening = "=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=- "
     texts = [opening + "Costs of 12 bps are deducted", "Monday 10:30: costs of 15 bps are deducted", "Good day. Costs of 12 bps are deducted", "Monday 11:45: costs of 15 bps are deducted", opening + "Nothing alike", opening + "12 BPS: deducted costs", "12 15", "30"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r["class"], r.matched_id) for r in doc_dedupe_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r["class"], r.matched_id) for r in doc_dedupe_class(spark, str(tmp_path)).collect()}
     assert got == {0: ("NEW", -1), 1: ("NEW", -1), 2: ("NEW", -1), 3: ("VARIANT", 1), 4: ("NEW", -1), 5: ("DUPLICATE", 0), 6: ("NEW", -1), 7: ("NEW", -1)}
 
 
@@ -121,22 +151,35 @@ def test_quotes_of_any_length(spark, tmp_path):
     spark.createDataFrame([(2, 1, f"[p.1] Costs rise. {long}\n[p.2] Up 4%. Costsrise. {long[:-1]}")], "selection_id long, result_id long, text string").write.parquet(str(tmp_path / "selections.parquet"))
     of = lambda q: [tuple(r)[1:] for r in sorted(q(spark, str(tmp_path)).collect())]
     assert [r[0] for r in of(quotes.quotes_grounded)] == ["exact", "exact", "none", "none", "exact"]
-    assert [r[1] for r in of(quotes.quotes_exact_all)] == [True, True, False, False, True] and of(quotes.quotes_exact) == []
-    assert of(quotes.number_support_all) == [(0, 0), (1, 0), (1, 1), (0, 0), (1, 0)]
+    assert [r[1] for r in of(quotes.quotes_exact)] == [True, True, False, False, True]
+    assert of(quotes.number_support) == [(0, 0), (1, 0), (1, 1), (0, 0), (1, 0)]
 
 
 def test_grounding_keeps_the_words_of_the_value(spark):
     quote = "The strategy is rebalanced annually and holds 30 stocks from the upper decile of the sorted universe"
-    rows = [(1, 1, quote, SOURCE, "annually"), (2, 1, quote, SOURCE, "30 stocks"), (3, 1, quote, SOURCE, None), (4, 1, quote.replace("annually", "monthly"), SOURCE, "monthly")]
-    df = spark.createDataFrame(rows, "quote_id long, text_id long, quote string, text string, value string")
+    rows = [(1, SOURCE, [(1, quote, "annually"), (2, quote, "30 stocks"), (3, quote, None), (4, quote.replace("annually", "monthly"), "monthly")])]
+    df = spark.createDataFrame(rows, "text_id long, text string, quotes array<struct<quote_id: long, quote: string, value: string>>")
     assert {r.quote_id: r.how for r in ground_quotes(df).collect()} == {1: "none", 2: "fuzzy", 3: "fuzzy", 4: "exact"}
-    assert {r.how for r in ground_quotes(df.drop("value")).where("quote_id < 4").collect()} == {"fuzzy"}
 
 
 def test_unseen_pairs_of_the_whole_time(spark, tmp_path):
-    from docloom.plans.ledger import ledger_unseen_all
+    from docloom.plans.ledger import ledger_unseen_pairs
 
     rows = [(1, 7, "view", 0), (2, 7, "view", 10), (3, 7, "view", 21), (4, 7, "click", 21), (5, 8, "view", 99), (6, 8, "view", 99)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, day int").select("event_id", "user_id", "event_type", F.timestamp_seconds(F.col("day") * 86400).alias("ts"), F.lit(1.0).alias("value"))
     df.write.parquet(str(tmp_path / "events.parquet"))
-    assert sorted(r.event_id for r in ledger_unseen_all(spark, str(tmp_path)).collect()) == [1, 3, 4, 5, 6]
+    assert sorted(r.event_id for r in ledger_unseen_pairs(spark, str(tmp_path)).collect()) == [1, 3, 4, 5, 6]
+
+
+def test_daily_ledger_is_whole_and_late_events_count(spark, tmp_path):
+    """Every day, also the last, and events that arrive in a later file with an earlier time."""
+    from docloom.streaming.ledger import daily_ledger, event_stream, settled
+
+    (tmp_path / "events.parquet").mkdir()
+    for part, days in enumerate([(0, 9, 9), (1, 0, 10)]):
+        df = spark.createDataFrame([(k, 1, "view", d) for k, d in enumerate(days)], "event_id long, user_id long, event_type string, day int")
+        df = df.select("event_id", F.timestamp_seconds(F.col("day") * 86400).cast("timestamp_ntz").alias("ts"), "user_id", "event_type", F.lit(1.5).alias("value"), F.lit("{}").alias("props"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = event_stream(spark, str(tmp_path))
+    got = settled(daily_ledger(stream), ["event_type", "day"])
+    assert sorted((r.day.day, r.calls, r.cents) for r in got.collect()) == [(1, 2, 300), (2, 1, 150), (10, 2, 300), (11, 1, 150)]

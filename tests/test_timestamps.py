@@ -20,6 +20,9 @@ CASES = [  # text, zone, day first, expected
     ("Sat, 20 Aug 16 04:06:22 CEST", None, None, "2016-08-20T02:06:22Z"), ("Sun Oct 30 03:36:25 CET 2016", None, None, "2016-10-30T02:36:25Z"), ("17 avril 2018 à 09h39", "Europe/Paris", True, "2018-04-17T07:39:00Z"),
     ("15. April 2012, 11:12 Uhr", "Europe/Berlin", True, "2012-04-15T09:12:00Z"), ("2009-08-21 21:19:16 America/New_York", None, None, "2009-08-22T01:19:16Z"), ("2013-05-03t10:19:23z", None, None, "2013-05-03T10:19:23Z"),
     ("2020-01-01T24:00:00Z", None, None, "2020-01-02T00:00:00Z"), ("Jun 2017", None, None, "2017-06"),
+    ("1895-07-01 12:00:00", "Europe/Paris", True, "1895-07-01T11:50:39Z"), ("1795-07-01 12:00:00", "Europe/Paris", True, "1795-07-01T11:50:39Z"), ("0001-01-01 00:30", "Asia/Tokyo", True, "0000-12-31T15:11:01Z"),
+    ("2105-07-01 12:00:00", "Europe/Paris", True, "2105-07-01T10:00:00Z"), ("2101-12-31 23:30", "Australia/Sydney", True, "2101-12-31T12:30:00Z"), ("2401-03-25 02:30", "Europe/Paris", True, "2401-03-25T01:30:00Z"), ("9999-01-15 12:00", "America/New_York", True, "9999-01-15T17:00:00Z"),
+    ("2020-06-25" + " " * 400 + "10:11:12 Europe/Paris", None, None, "2020-06-25T08:11:12Z"), ("Published: " + " " * 300 + "Jul 2014", None, None, "2014-07"),
     # twice, never
     ("2020-10-25T01:10:06", "Europe/London", True, "2020-10-25T00:10:06Z"), ("31/03/2013 02:37", "Europe/Paris", True, "2013-03-31T01:37:00Z"),
     # nothing to read
