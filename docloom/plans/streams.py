@@ -36,7 +36,7 @@ SQL = {
     "stream_search_memory": _BATCH["ledger_search_memory"],
     "stream_budget": _BATCH["ledger_budget_prefix"],
     "stream_daily_ledger": "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY ALL",
-    "stream_paced": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'error' AS bad, CAST(epoch_ms(ts) AS BIGINT) AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    "stream_paced": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'error' AS bad, epoch_us(ts) // 1000 AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 s AS (SELECT user_id, event_id, now AS start_ms, 'free' AS state, k, now + 600000 AS free, CASE WHEN bad THEN 1 ELSE 0 END AS failed FROM e WHERE k = 1
 UNION ALL SELECT e.user_id, e.event_id, greatest(e.now, s.free),
   CASE WHEN e.bad AND s.failed = 1 THEN 'closed' WHEN s.free > e.now THEN 'waited' ELSE 'free' END, e.k,
