@@ -1,14 +1,17 @@
 """Main content of web pages that arrive as blocks of lines, without markup.
 
-A page is a tree: page, containers (runs of lines that no page furniture interrupts), lines. Paragraph lines pass points
-for length and commas to their container and half of them to its neighbours, discounted by the share of the container's
-text that looks like links. The best container is kept with its siblings: those that score well themselves, and headings
-and lists between the title and the last kept paragraph. Lines that recur over the pages of a site, phrases by which
-sites label furniture, and lists of titles behind such a label count as link text.
+A page is read as a tree: the page, its regions (what no furniture line interrupts), their groups (runs of paragraphs, and
+of short lines), lines. Each paragraph passes points for length and commas to its group, half of them to the region and a
+quarter to the regions beside it; every container's points are discounted by its link density. The region with most
+points is kept with those siblings that score well by themselves, and with the headings and lists between kept
+paragraphs. What counts as link text is learned from the pages at hand, not listed: lines that recur over a site or over
+many sites, and what stands behind those that introduce lists of links. Recurring headings are told from furniture by
+what follows them, which is text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -16,39 +19,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Phrases by which sites label furniture, whole lines in lower case, <site> standing for the site's name.
-LINK_LABELS = (
-    "most read|related articles|you may also like|editor's picks|trending now|more from <site>|read more|recommended|popular now|"
-    "meistgelesen|mehr zum thema|auch interessant|lo más leído|le puede interesar|artículos relacionados|"
-    "les plus lus|sur le même sujet|à lire aussi|相关文章|热门文章"
-).split("|")
-BUTTONS = (
-    "accept all|got it|reject optional cookies|manage preferences|learn more in our privacy policy|alle akzeptieren|"
-    "nur notwendige zulassen|einstellungen verwalten|aceptar todo|rechazar|configurar|tout accepter|continuer sans accepter|"
-    "gérer mes choix|share this|print|copy link|email a friend|save for later|listen (# min)|teilen|drucken|merken|"
-    "link kopieren|anhören (# min)|compartir|imprimir|copiar enlace|escuchar (# min)|guardar|partager|imprimer|copier le lien|écouter (# min)|enregistrer|"
-    "subscribe to our newsletter|never miss a post|get the <site> briefing in your inbox|enter your email address|"
-    "no spam, one mail a week.|unsubscribe at any time.|join #,# readers|newsletter abonnieren|<site> kompakt per e-mail|"
-    "e-mail-adresse eingeben|jederzeit abbestellbar.|suscríbase al boletín|<site> en su correo|su correo electrónico|"
-    "puede darse de baja cuando quiera.|recevez notre infolettre|<site> chaque matin|votre adresse e-mail|désinscription à tout moment.|"
-    "advertisement|sponsored content|continue after the advert|anzeige|publicidad|publicité|werbung|sign in|log in|"
-    "# likes|# views|# readers online|# comments|# shares|skip to content|back to top|all rights reserved."
-).split("|")
-INLINE_LABELS = ("read also", "see more", "see also", "lesen sie auch", "mehr dazu", "lea también", "vea también", "à lire aussi", "lire aussi", "voir aussi", "ver más", "voir plus", "siehe auch", "mehr lesen")
-# Openings of consent notices.
-NOTICE = re.compile(
-    r"^(?:we use cookies|this site stores|this website stores|by continuing you agree|<site> and its partners|wir verwenden cookies|diese website speichert|"
-    r"<site> nutzt|mit der nutzung|usamos cookies|este sitio guarda|<site> y sus socios|nous utilisons des cookies|ce site conserve|<site> et ses partenaires|"
-    r"<site> und (?:seine )?partner|en continuant|al continuar|durch die weitere nutzung)"
-)
-COPYRIGHT = re.compile(r"^(?:©|\(c\) \d{4}|copyright )", re.I)
+from docloom.tables import written
+
 SENTENCE_END = re.compile(r"[.!?…。！？][\"”’»)\]]*$")
 SPLIT_PARTS = re.compile(r" ?[|/·>»›•] ?|\s{2,}")
+BULLET = re.compile(r"^[\-–•*»>›→]+\s*")
+EASTERN = re.compile(r"[぀-ヿ一-鿿]")
 PAGE_SCHEMA = "result_id long, block_index int, line_index int, text string, main boolean"
+SEEN_SCHEMA = "host string, page string, key string, n int, followed int, leads int"
+LONGEST_LABEL, SHORT_COST = 8, 0.5
 
 
 def line_key(line: str, site: str) -> str:
-    """Form in which lines of a site are compared: lower case, numbers as #, the site's name as <site>."""
+    """Form in which lines are compared: lower case, numbers as #, the site's name as <site>."""
     key = re.sub(r"\d+", "#", " ".join(line.split()).lower())
     return key.replace(site.lower(), "<site>") if site else key
 
@@ -58,40 +41,94 @@ def _site(host: str | None) -> str:
     return parts[-2] if len(parts) > 1 else parts[0]
 
 
-BUTTON_SET = frozenset(BUTTONS)
-BUTTON_RE = re.compile("|".join(re.escape(b) for b in sorted(BUTTONS, key=len, reverse=True)))
-LABEL_SET = frozenset(LINK_LABELS)
-
-
-def _kind(key: str, template: frozenset[str]) -> str:
-    """'label' of a link list, 'furniture', 'nav' (site navigation), 'foot' or '' (perhaps content)."""
-    bare = re.sub(r"^[\-–•*»>›→]+\s*", "", key)
-    if COPYRIGHT.match(key):
-        return "foot"
-    if bare in LABEL_SET:
-        return "label"
-    if bare in BUTTON_SET or NOTICE.match(bare) or any(re.match(rf"{re.escape(p)}\s?:", bare) for p in INLINE_LABELS):
-        return "furniture"
-    if bare == "<site>" or re.match(r"<site> [–—|-] ", bare):
-        return "nav"
-    if BUTTON_RE.search(bare) and not re.sub(r"[\s|·/,]+", "", BUTTON_RE.sub("", bare)):
-        return "furniture"
-    if not SENTENCE_END.search(bare):
-        parts = [p for p in SPLIT_PARTS.split(key) if p]
-        if len(parts) >= 3 and (" > " in key or max(len(p.split()) for p in parts) <= 3):
-            return "nav"
-    if bare in template or key in template:
-        return "nav"
-    return ""
-
-
-def _is_paragraph(text: str) -> bool:
+def is_paragraph(text: str) -> bool:
     words = len(text.split())
-    if SENTENCE_END.search(text) and (words >= 6 or len(re.findall(r"[぀-ヿ一-鿿]", text)) >= 12):
+    if SENTENCE_END.search(text) and (words >= 6 or len(EASTERN.findall(text)) >= 12):
         return not re.match(r"^[\-–•*] ", text) or words >= 12
     return len(text) >= 220
 
 
+def points(text: str) -> float:
+    """What a paragraph is worth: one for itself, its commas, and up to three for its length."""
+    return 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+
+
+def body(texts: list[str], paras: list[bool]) -> tuple[int, int]:
+    """[start, end) of the stretch with most points, where every line that is no paragraph costs SHORT_COST."""
+    best, start, end, total, begin = 0.0, 0, 0, 0.0, 0
+    for i, (t, p) in enumerate(zip(texts, paras, strict=True)):
+        if total <= 0:
+            total, begin = 0.0, i
+        total += points(t) if p else -SHORT_COST
+        if total > best:
+            best, start, end = total, begin, i + 1
+    return start, end
+
+
+def key_forms(key: str) -> list[str]:
+    """The forms under which a line may recur: whole, and as a lead before a colon."""
+    forms = [BULLET.sub("", key) or key]
+    head, colon, rest = key.partition(":")
+    if colon and rest and len(head.split()) <= 4 and not re.search(r"[.!。！]$", key):
+        forms.append(head.strip() + " :")
+    return forms
+
+
+def contexts(lines: list[str], host: str | None) -> dict[str, list[int]]:
+    """For each key form of a page's non-blank lines: how often it occurs, how often text follows it (a paragraph or a list),
+    and how often link-like lines do (two short ones without an end)."""
+    site = _site(host)
+    texts = [" ".join(line.split()) for line in lines]
+    paras = [is_paragraph(t) for t in texts]
+    out: dict[str, list[int]] = {}
+    for i, (t, p) in enumerate(zip(texts, paras, strict=True)):
+        text_next = i + 1 < len(texts) and (paras[i + 1] or texts[i + 1][:2] in ("- ", "• ", "* "))
+        links = i + 1 < len(texts) and not any(SENTENCE_END.search(x) and not x.endswith("?") or len(x.split()) < 3 for x in texts[i + 1 : i + 3]) and not text_next and len(t.split()) <= LONGEST_LABEL
+        for form in key_forms(line_key(t, site)):
+            seen = out.setdefault(form, [0, 0, 0])
+            for k, fact in enumerate((True, text_next, links)):
+                seen[k] += fact
+    return out
+
+
+# How pages mark adverts. They stand anywhere between paragraphs, so their place does not tell them from headings.
+ADVERTS = frozenset(("advertisement", "sponsored content", "continue after the advert", "anzeige", "werbung", "publicidad", "publicité"))
+
+
+class Furniture:
+    """What is known of a page's lines beforehand: keys that recur, and those of them that introduce lists of links."""
+
+    def __init__(self, keys: frozenset[str] = frozenset(), labels: frozenset[str] = frozenset(), adverts: frozenset[str] = ADVERTS) -> None:
+        self.keys, self.labels, self.adverts = keys, labels, adverts
+
+    def made_of(self, key: str) -> bool:
+        """Whether a line is several known ones beside each other."""
+        words = re.sub(r"[|/·,>»›•]", " ", key).split()
+        reach = {0}
+        for end in range(1, len(words) + 1):
+            if any(start in reach and " ".join(words[start:end]) in self.keys for start in range(max(0, end - 6), end)):
+                reach.add(end)
+        return len(words) in reach and len(words) > 1
+
+    def kind(self, line: str, key: str) -> str:
+        """'label' of a link list, 'nav' (the site's name or navigation), 'known', 'inline' (an advert's mark or a single link
+        between paragraphs) or '' (perhaps content)."""
+        bare, *parts = key_forms(key)
+        if bare in self.labels:
+            return "label"
+        if bare == "<site>" or re.match(r"<site> [–—|-] ", bare):
+            return "nav"
+        if bare in self.adverts or any(p in self.keys for p in parts if p.endswith(" :")):
+            return "inline"
+        if bare in self.keys or any(p in self.keys for p in parts):
+            return "known"
+        if not SENTENCE_END.search(bare):
+            pieces = [p for p in SPLIT_PARTS.split(line.strip().lower() if "  " in line.strip() else key) if p]
+            if len(pieces) >= 3 and (" > " in key or max(len(p.split()) for p in pieces) <= 3):
+                return "nav"
+        return "known" if self.made_of(bare) else ""
+
+
 def _same(a: str, b: str) -> bool:
     """Whether ``a`` is the title ``b``, perhaps cut short."""
     norm = lambda s: re.sub(r"[\W_]+", "", s.lower())
@@ -99,141 +136,188 @@ def _same(a: str, b: str) -> bool:
     return bool(a) and (a == b or (len(a) >= 20 and b.startswith(a)) or (len(b) >= 20 and a.startswith(b)))
 
 
-def main_lines(lines: list[str], host: str | None, title: str | None, template: frozenset[str], sibling_share: float = 0.1) -> list[bool]:
+def container_scores(texts: list[str], paras: list[bool], links: list[bool], region: list[int]) -> tuple[list[float], list[float]]:
+    """(score of each line's group, score of each region). A group is a run of lines of one region that are alike in being
+    paragraphs and in being links. It passes half of its points to its region and a quarter to the regions beside it;
+    a region's points are discounted by its link density, and a group's score is its region's, discounted by its own."""
+    count = region[-1] + 1 if region else 0
+    own, chars, linked = [0.0] * count, [1e-9] * count, [0.0] * count
+    density = [0.0] * len(texts)
+    i = 0
+    while i < len(texts):
+        j = i
+        while j < len(texts) and (region[j], paras[j], links[j]) == (region[i], paras[i], links[i]):
+            j += 1
+        size = sum(len(t) for t in texts[i:j])
+        link_chars = sum(len(t) for t, k in zip(texts[i:j], links[i:j], strict=True) if k)
+        density[i:j] = [link_chars / size if size else 0.0] * (j - i)
+        own[region[i]] += sum(points(t) for t, p in zip(texts[i:j], paras[i:j], strict=True) if p) * (1 - density[i])
+        chars[region[i]] += size
+        linked[region[i]] += link_chars
+        i = j
+    own = [p / 2 for p in own]
+    regions = [(p + sum(own[max(0, c - 1) : c] + own[c + 1 : c + 2]) / 2) * (1 - k / n) for c, (p, k, n) in enumerate(zip(own, linked, chars, strict=True))]
+    return [regions[r] * (1 - d) for r, d in zip(region, density, strict=True)], regions
+
+
+def main_lines(lines: list[str], host: str | None, title: str | None, furniture: Furniture, sibling_share: float = 0.1) -> list[bool]:
     """For each of a page's non-blank lines, in order, whether it is main content."""
     site, n = _site(host), len(lines)
-    text = [" ".join(line.split()) for line in lines]
+    texts = [" ".join(line.split()) for line in lines]
     keys = [line_key(line, site) for line in lines]
-    kinds = [_kind(re.sub(r"\d+", "#", line.strip().lower()).replace(site.lower(), "<site>") if site and "  " in line.strip() else k, template) for line, k in zip(lines, keys, strict=True)]
-    paras = [not k and _is_paragraph(t) for k, t in zip(kinds, text, strict=True)]
-    foot = next((i for i in range(n) if kinds[i] == "foot"), n)
-    for i in range(foot, n):
-        kinds[i], paras[i] = "foot", False
-    crumb = next((text[i].rsplit(" > ", 1)[1] for i in range(foot) if kinds[i] == "nav" and " > " in text[i]), None)
-    first_para = next((i for i in range(n) if paras[i]), foot)
-
-    # The title: the metadata's, else what the breadcrumb ends with, else the first line that could be one.
+    shaped = [is_paragraph(t) for t in texts]
+    kinds = [furniture.kind(line, k) for line, k in zip(lines, keys, strict=True)]
+    crumb = next((t.rsplit(" > ", 1)[1] for t, k in zip(texts, kinds, strict=True) if k == "nav" and " > " in t), None)
+    start, end = body(texts, [p and not k for p, k in zip(shaped, kinds, strict=True)])
+
+    # The title: the metadata's, else what the breadcrumb ends with.
     own = None
     for wanted in (title if title and title != "UNKNOWN" else None, crumb):
-        own = own if own is not None else next((i for i in range(foot) if wanted and not kinds[i] and _same(text[i], wanted)), None)
+        if own is None and wanted:
+            own = next((i for i in range(n) if kinds[i] != "nav" and _same(texts[i], wanted)), None)
     if own is None:
-        own = next((i for i in range(first_para) if text[i] == "UNKNOWN"), None)
+        own = next((i for i in range(start + 1 if end else n) if texts[i] == "UNKNOWN"), None)
+    if own is not None:
+        kinds[own] = ""
+    paras = [p and not k for p, k in zip(shaped, kinds, strict=True)]
+    first = next((i for i in range(n) if paras[i]), n)
 
-    # Lists of links: what follows a label, until a paragraph, a short heading, the title or other furniture.
+    # Containers of links: a label and the short lines behind it, until a paragraph, the title or other furniture.
     box = [False] * n
     i = 0
-    while i < foot:
-        if kinds[i] == "label":
-            j = i + 1
-            more = any(paras[k] for k in range(j, foot))
-            while j < foot and not kinds[j] and not paras[j] and j != own:
-                numbered = re.match(r"^\d+[.)] ", text[j])
-                if more and own is not None and i > own and not numbered and j > i + 2 and (len(text[j].split()) <= 4 or text[j][:2] == "- "):
-                    break
-                box[j] = True
-                j += 1
-            if own is None and i < first_para and j > i + 2:
-                # Before an unmarked title: the list's last long lines include the title itself.
-                tail = [k for k in range(i + 1, j) if len(text[k].split()) >= 4 or text[k] == "UNKNOWN"]
-                if tail:
-                    own = tail[-1]
-                    for k in range(own, j):
-                        box[k] = False
-            i = j
-        else:
+    while i < n:
+        if kinds[i] != "label":
             i += 1
+            continue
+        j = i + 1
+        more = any(paras[j:])
+        while j < n and not kinds[j] and not paras[j] and j != own:
+            numbered = re.match(r"^\d+[.)] ", texts[j])
+            if more and own is not None and i > own and not numbered and j > i + 2 and (len(texts[j].split()) <= 4 or texts[j][:2] == "- "):
+                break
+            box[j] = True
+            j += 1
+        if own is None and i < first and j > i + 2:
+            # Before an unmarked title: the list's last long lines include the title itself.
+            tail = [k for k in range(i + 1, j) if len(texts[k].split()) >= 4 or texts[k] == "UNKNOWN"]
+            if tail:
+                own = tail[-1]
+                for k in range(own, j):
+                    box[k] = False
+        i = j
     if own is None:
-        own = next((i for i in range(first_para) if not kinds[i] and not box[i] and len(text[i].split()) >= 4), None)
+        own = next((i for i in range(first) if not kinds[i] and not box[i] and len(texts[i].split()) >= 4), None)
 
-    # Containers and their points.
-    container, of = -1, [-1] * n
-    for i in range(foot):
-        if kinds[i] in ("nav", "label") or box[i]:
-            continue
-        if i == 0 or of[i - 1] < 0 or i == own:
-            container += 1
-        of[i] = container
-    score, chars, links = [0.0] * (container + 1), [1] * (container + 1), [0] * (container + 1)
+    # Regions: cut where links begin or end, but for single ones between paragraphs, and at the title.
+    links = [bool(k) or b for k, b in zip(kinds, box, strict=True)]
+    region, count = [], 0
     for i in range(n):
-        if of[i] >= 0:
-            c = of[i]
-            chars[c] += len(text[i])
-            if paras[i]:
-                score[c] += 1 + text[i].count(",") + text[i].count("，") + min(len(text[i]) / 100, 3)
-            elif kinds[i] or (len(text[i].split()) >= 5 and i != own and not re.match(r"^[\-–•*] ", text[i])):
-                links[c] += len(text[i])
-    own_points = [s * (1 - k / c) for s, k, c in zip(score, links, chars, strict=True)]
-    total = [p + 0.5 * sum(own_points[max(0, c - 1) : c] + own_points[c + 1 : c + 2]) for c, p in enumerate(own_points)]
-    best = max(range(len(total)), key=total.__getitem__, default=-1)
-    start = own if own is not None else next((i for i in range(n) if of[i] >= 0 and own_points[of[i]] > 0), foot)
-    if (best < 0 or own_points[best] <= 0) and (own is None or not any(not kinds[i] and not box[i] for i in range(own + 1, foot))):
-        own_only = [False] * n
-        if own is not None and not kinds[own]:
-            own_only[own] = True
-        return own_only
-    keep = {c for c in range(len(total)) if c == best or own_points[c] >= sibling_share * own_points[best]}
-    last = max((i for i in range(n) if paras[i] and of[i] in keep), default=start)
-    out = [False] * n
-    for i in range(start, foot):
-        if kinds[i] or box[i] or of[i] < 0:
-            continue
-        out[i] = i <= last or of[i] == of[last] or not any(kinds[k] in ("label", "nav") for k in range(last, i))
-    return out
+        if i and ((links[i] and kinds[i] != "inline") != (links[i - 1] and kinds[i - 1] != "inline") or i == own):
+            count += 1
+        region.append(count)
+    scores, regions = container_scores(texts, paras, links, region)
+    best = max(regions, default=0.0)
+    text = [False] * (count + 1)
+    for i in range(n):
+        text[region[i]] |= paras[i]
+    kept = [i for i in range(n) if paras[i] and scores[i] >= sibling_share * best]
+    if best <= 0 or not kept:  # no paragraph at all: the title, and what stands behind it in its own region
+        return [own is not None and i >= own and region[i] == region[own] and not links[i] for i in range(n)]
+    begin, last = own if own is not None and own <= kept[0] else kept[0], kept[-1]
+    # The best region, siblings that score well themselves, and between them what has neither points nor links.
+    keep = lambda i: scores[i] >= sibling_share * best and scores[i] > 0 and text[region[i]] or not text[region[i]] and not links[i] and i < last or i == own
+    return [begin <= i and (i <= last or region[i] == region[last]) and keep(i) for i in range(n)]
 
 
-def site_templates(lines: DataFrame, min_pages: int = 6, min_share: float = 0.25) -> DataFrame:
-    """Short lines that recur on at least ``min_share`` of a host's pages: columns host, template (array of keys).
+def _pages_of(batch: pd.DataFrame) -> Iterator[tuple]:
+    for r in batch.itertuples(index=False):
+        place, lines = [], []
+        for b, text in enumerate(r.texts if r.texts is not None else ()):
+            for k, line in enumerate((text or "").split("\n")):
+                if line.strip():
+                    place.append((b, k))
+                    lines.append(line)
+        yield r, place, lines
 
-    Counted over all pages with partial aggregation; a host of n lines a page has at most n / ``min_share`` such lines,
-    so one row a host stays small.
-    """
-    pages = lines.groupBy("host").agg(F.count_distinct("result_id").alias("pages"))
-    seen = lines.where(F.length("key").between(1, 40)).groupBy("host", "key").agg(F.count_distinct("result_id").alias("n"))
-    return (
-        seen.where(F.col("n") >= min_pages)
-        .join(pages, "host")
-        .where(F.col("n") >= F.col("pages") * min_share)
-        .groupBy("host")
-        .agg(F.collect_list("key").alias("template"))
-    )
-
-
-def _key_column(text: str, host: str):
-    """``line_key`` as a built-in expression."""
-    parts = F.split(F.coalesce(F.col(host), F.lit("")), r"\.")
-    site = F.lower(F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2)).otherwise(F.get(parts, F.lit(0))))
-    key = F.lower(F.regexp_replace(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), r"\d+", "#"))
-    return F.when(site != "", F.replace(key, site, F.lit("<site>"))).otherwise(key)
-
-
-def _label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+PAGE_KEY = "\0page"  # stands once for each page, to count them
+
+
+def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for r in pdf.itertuples(index=False):
-            place, lines = [], []
-            for b, text in enumerate(r.texts if r.texts is not None else ()):
-                for k, line in enumerate((text or "").split("\n")):
-                    if line.strip():
-                        place.append((b, k))
-                        lines.append(line)
-            template = frozenset(r.template) if r.template is not None else frozenset()
-            for (b, k), line, main in zip(place, lines, main_lines(lines, r.host, r.title, template), strict=True):
-                rows.append((r.result_id, b, k, line, main))
-        yield pd.DataFrame(rows, columns=["result_id", "block_index", "line_index", "text", "main"])
-
-
-def page_lines(pages: DataFrame) -> DataFrame:
+        for r, _, lines in _pages_of(pdf):
+            page = hashlib.md5("".join("".join(lines).split()).encode(), usedforsecurity=False).hexdigest()[:16]  # a page fetched twice is one
+            rows.append((r.host or "", page, PAGE_KEY, 1, 0, 0))
+            rows += [(r.host or "", page, key, *facts) for key, facts in contexts(lines, r.host).items()]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEEN_SCHEMA.split(", ")])
+
+
+# Fixed values of the learned lists. A key recurs over sites from this many on and this share of all; within a site from this
+# many pages on and this share of its pages. It is furniture where text follows less often than this (two occurrences of
+# either kind are added, so that few prove nothing), or less often than that where it is on this share of a mean site's pages.
+# A label is furniture that link-like lines follow this often.
+LEAST_SITES, SITES_SHARE, LEAST_PAGES, SITE_SHARE, MOST_FOLLOWED, WIDE, WIDE_FOLLOWED, LEAST_LEADS = 3, 0.01, 2, 0.25, 0.35, 0.4, 0.85, 0.5
+
+
+def known_furniture(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys, labels) of what recurs over sites, one row, and (host, keys, labels) of what recurs within a site and not over
+    sites, one row a host. Counted over all pages; pages of one text on one host count once.
+
+    The first has at most 1 / SITES_SHARE times the keys of a mean site, whatever the number of sites, and a host's row in
+    the second at most 1 / SITE_SHARE times the lines of its mean page, whatever the number of pages.
+    """
+    facts = ("n", "followed", "leads")
+    seen = pages.mapInPandas(_seen, SEEN_SCHEMA).groupBy("host", "page", "key").agg(*[F.max(c).alias(c) for c in facts])
+    by_host = written(seen.groupBy("host", "key").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in facts]))
+    sizes = by_host.where(F.col("key") == PAGE_KEY).select("host", F.col("pages").alias("size"))
+    keyed = by_host.where(F.col("key") != PAGE_KEY).join(sizes, "host")
+    share = F.when(F.col("pages") > 1, F.col("pages") / F.col("size")).otherwise(0.0)
+    over = written(keyed.groupBy("key").agg(F.count_if(F.col("host") != "").alias("sites"), F.avg(share).alias("wide"), *[F.sum(c).alias(c) for c in facts]))
+    least = max(LEAST_SITES, SITES_SHARE * sizes.count())
+    paragraph = F.col("key").rlike(r"[.!?…。！？][\"”’»)\]]*$") & ((F.size(F.split("key", " ")) >= 6) | (F.length(F.regexp_replace("key", r"[^\u3040-\u30ff\u4e00-\u9fff]", "")) >= 12))
+    followed = (F.col("followed") + 2) / (F.col("n") + 4)
+
+    def gathered(keys: DataFrame, *by: str) -> DataFrame:
+        lead = F.col("key").endswith(" :")
+        label = ~lead & (F.col("leads") / F.col("n") >= LEAST_LEADS)
+        return keys.where(lead | paragraph | (followed < F.when(F.col("wide") >= WIDE, WIDE_FOLLOWED).otherwise(MOST_FOLLOWED))).groupBy(*by).agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(label, F.col("key"))).alias("labels"))
+
+    common = over.where(F.col("sites") >= least)
+    recurs = (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("size") * SITE_SHARE) & (F.col("host") != "")
+    own = keyed.where(recurs).withColumn("wide", F.when(F.col("pages") > 2, F.col("pages") / F.col("size")).otherwise(0.0)).join(common.select("key"), "key", "left_anti")
+    return gathered(common), gathered(own, "host")
+
+
+def page_lines(pages: DataFrame, adverts: frozenset[str] = ADVERTS) -> DataFrame:
     """Every non-blank line of web pages with ``main``: whether it belongs to the article.
 
     ``pages``: result_id, host, title, texts (array<string>, block texts in order). Columns out: result_id, block_index,
     line_index, text, main. Null hosts and titles are allowed; null or empty blocks give no lines, but count in the
     positions; a page given twice gives its lines twice; an empty table gives no rows; other columns are ignored. Very
-    long pages are read whole. Each page is labelled alone; only its host's template lines are joined, one row a host.
+    long pages are read whole. Each page is judged alone, with what is known of its site and of all sites.
     """
     pages = pages.select("result_id", "host", "title", "texts")
-    lines = pages.select("result_id", "host", F.explode("texts").alias("block")).select("result_id", "host", F.explode(F.split("block", "\n")).alias("line"))
-    templates = site_templates(lines.select("result_id", "host", _key_column("line", "host").alias("key")))
-    return pages.join(templates, "host", "left").select("result_id", "host", "title", "texts", "template").mapInPandas(_label, PAGE_SCHEMA)
+    common, own = known_furniture(pages)
+    shared = common.toPandas()  # one row of bounded size
+    keys, labels = (frozenset(shared[c][0]) if len(shared) else frozenset() for c in ("keys", "labels"))
+    sent = pages.sparkSession.sparkContext.broadcast((keys, labels))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, labels = sent.value
+        furniture: dict[str | None, Furniture] = {}
+        for pdf in batches:
+            rows = []
+            for r, place, lines in _pages_of(pdf):
+                if r.host not in furniture:
+                    if len(furniture) > 1000:
+                        furniture.clear()
+                    own = r.keys is not None
+                    furniture[r.host] = Furniture(keys.union(r.keys) if own else keys, labels.union(r.labels) if own else labels, adverts)
+                rows += [(r.result_id, b, k, line, main) for (b, k), line, main in zip(place, lines, main_lines(lines, r.host, r.title, furniture[r.host]), strict=True)]
+            yield pd.DataFrame(rows, columns=["result_id", "block_index", "line_index", "text", "main"])
+
+    return pages.join(written(own), "host", "left").select("result_id", "host", "title", "texts", "keys", "labels").mapInPandas(judge, PAGE_SCHEMA)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
