@@ -71,7 +71,7 @@ def test_lists_decide_little(spark, data):
     pages = web_pages(spark, data)
     lines = lambda **how: {(r.result_id, r.block_index, r.line_index) for r in page_lines(pages, **how).where("NOT main").collect()}
     with_list, without = lines(), lines(adverts=frozenset())
-    assert len(with_list) > 100 and len(with_list & without) >= 0.97 * len(with_list)
+    assert len(with_list) > 40 and len(with_list & without) >= 0.97 * len(with_list)
 
 
 def test_pages(spark):
