@@ -64,6 +64,8 @@ def nickname_table() -> dict[str, list[str]]:
 
 def fold(text: str) -> str:
     """Lower-case letters without marks."""
+    if text.isascii():
+        return "".join(filter(str.isalnum, text.lower()))
     text = text.lower().replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("ł", "l").replace("đ", "d").replace("ı", "i")
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return re.sub(r"[^\w]|_", "", text)
