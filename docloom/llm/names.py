@@ -71,19 +71,32 @@ def fold(text: str) -> str:
     return re.sub(r"[^\w]|_", "", text)
 
 
+GLUED = re.compile(r"\b((?:van|von|der|den|de|la|di|da|del)+)(?=[A-ZÀ-Þ])")
+LETTER, SPACES, SIGNS = re.compile(r"[^\W\d_]"), re.compile(r"[\s,]+"), re.compile(r"[^\w]")
+INITIALS, APOSTROPHE = re.compile(r"(?:[^\W\d_]\.?-?){1,3}"), re.compile(r"^[oOdD]['’]\w")
+
+
+def _bare(word: str) -> str:
+    return word.lower() if word.isalnum() else SIGNS.sub("", word).lower()
+
+
 def parse_name(text: str) -> dict | None:
     """The parts of one spelling, or None where it names nobody. ``fixed`` is False where the order of names is open."""
-    s = " ".join(unicodedata.normalize("NFKC", text).split())
-    s = re.sub(r"^by ", "", s, flags=re.I)
-    s = re.sub(r"\b((?:van|von|der|den|de|la|di|da|del)+)(?=[A-ZÀ-Þ])", lambda m: "van " if m[1].islower() else m[0], s)
-    if m := re.match(r"^\S+@\S+ ?[(<\[](.+)[)>\]]$", s):
-        s = m[1]
-    s = re.sub(r"<?\S+@\S+>?", "", s)
-    s = re.sub(r"\s*[(\[].*?[)\]]\s*", " ", s).strip(" ,;")
-    if not s or s.lower() in NOBODY or not re.search(r"[^\W\d_]", s):
+    s = " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split())
+    if s[:3].lower() == "by ":
+        s = s[3:]
+    s = GLUED.sub(lambda m: "van " if m[1].islower() else m[0], s)
+    if "@" in s:
+        if m := re.match(r"^\S+@\S+ ?[(<\[](.+)[)>\]]$", s):
+            s = m[1]
+        s = re.sub(r"<?\S+@\S+>?", "", s)
+    if "(" in s or "[" in s:
+        s = re.sub(r"\s*[(\[].*?[)\]]\s*", " ", s)
+    s = s.strip(" ,;")
+    if not s or s.lower() in NOBODY or not LETTER.search(s):
         return None
-    words = [w for w in re.split(r"[\s,]+", s) if w]
-    bare = [re.sub(r"[^\w]", "", w).lower() for w in words]
+    words = [w for w in SPACES.split(s) if w]
+    bare = [_bare(w) for w in words]
     if sum(b in ORG_TYPES or (b in LEGAL and len(b) > 2) for b in bare) or sum(b in ORG_WORDS for b in bare) >= 2:
         kept = [w for w, b in zip(words, bare, strict=True) if b and b not in LEGAL and b not in ("the", "of", "and", "for")]
         low = [re.sub(r"[^\w]", "", w).lower() for w in kept]
@@ -94,14 +107,13 @@ def parse_name(text: str) -> dict | None:
         fields = [w for k, w in enumerate(low) if k != at and w not in ORG_TYPES]
         return {"kind": "org", "fixed": True, "given": [], "family": [fold(kept[at])], "initials": [w[0] for w in fields[:2]], "hyphen": False, "tokens": [fold(w) for w in kept]}
     out = {"kind": "person", "fixed": True, "given": [], "family": [], "initials": [], "hyphen": False, "tokens": []}
-    plain = lambda w: re.sub(r"[^\w]", "", w).lower()
-    clean = lambda t: [w for k, w in enumerate(t.split()) if plain(w) not in TITLES and not (k == 0 and plain(w) in ADDRESS and t.count(" ") > 1)]
+    clean = lambda t: [w for k, w in enumerate(t.split()) if (low := _bare(w)) not in TITLES and not (k == 0 and low in ADDRESS and t.count(" ") > 1)]
     pieces = [p for p in (clean(x) for x in s.split(",")) if p]
     if not pieces:
         return None
 
     def is_initials(w: str) -> bool:
-        return bool(re.fullmatch(r"(?:[^\W\d_]\.?-?){1,3}", w)) and ("." in w or len(w) == 1 or (w.isupper() and len(w) <= 3 and not s.isupper()))
+        return bool(INITIALS.fullmatch(w)) and ("." in w or len(w) == 1 or (w.isupper() and len(w) <= 3 and not s.isupper()))
 
     def take(words: list[str], to: dict) -> list[str]:
         """The full words of a given-name part; its initials go to ``to``."""
@@ -109,7 +121,7 @@ def parse_name(text: str) -> dict | None:
         for w in words:
             if is_initials(w):
                 to["hyphen"] |= "-" in w
-                to["initials"] += [fold(c) for c in re.findall(r"[^\W\d_]", w)]
+                to["initials"] += [fold(c) for c in LETTER.findall(w)]
             else:
                 full.append(w)
         return full
@@ -119,7 +131,7 @@ def parse_name(text: str) -> dict | None:
         out["given"] = [fold(w) for w in take([w for p in pieces[1:] for w in p if w.lower() not in PARTICLES], out)]
     else:
         words = pieces[0]
-        kinds = ["i" if is_initials(w) else "p" if w.lower() in PARTICLES or re.match(r"^[oOdD]['’]\w", w) else "w" for w in words]
+        kinds = ["i" if is_initials(w) else "p" if w.lower() in PARTICLES or APOSTROPHE.match(w) else "w" for w in words]
         if "i" in kinds and "w" in kinds + ["w"] * kinds.count("p"):
             first, last = kinds.index("i"), len(kinds) - 1 - kinds[::-1].index("i")
             if last == len(words) - 1:  # Family F. M.
