@@ -2,8 +2,9 @@
 
 Rare n-gram seeds join corpus passages to test items, then Smith-Waterman alignment scores the copy. From every window
 of ``run`` words of an item the seed is the n-gram that is rarest in the corpus, so any copied run of that length holds
-a seed, and frequent phrases rarely are one. A filter of fixed size, made of the items' n-grams, keeps the corpus from
-being shuffled: only n-grams that it lets through leave a document, and the join is exact whatever it lets through.
+a seed, and frequent phrases rarely are one; rare n-grams are seeds wherever they stand, so that copies with changed words
+hold some too. Two filters of fixed size keep the corpus from being shuffled: only n-grams of the items leave a document,
+and of the texts only those with seeds move; the joins behind them are exact whatever they let through.
 """
 
 from __future__ import annotations
@@ -12,13 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.words import WordIds, gram_hashes, ids, words
-from docloom.tables import materialize
+from docloom.tables import materialize, written
 
 N, RUN, FILTER_BITS = 6, 12, 1 << 23
+# A seed anywhere: an n-gram at no more than this share of the corpus's documents; and how many of an edited copy's seeds
+# must agree. From this share of an item's own score on, a document is reported whatever its longest run.
+RARE_SHARE, LEAST_SEEDS, EDITED_SHARE = 0.01, 2, 0.5
 HIT_SCHEMA = "doc_id long, pos int, gram long"
 LEAK_SCHEMA = "doc_id long, item_id long, score double, item_share double, longest_run int, doc_word int"
 
@@ -44,13 +49,14 @@ def _grams(batches: Iterator[pd.DataFrame], key: str, n: int, bits: np.ndarray |
             yield pd.DataFrame({key: np.concatenate(keys), "pos": np.concatenate(places), "gram": np.concatenate(found)})
 
 
-def _filter_of(grams: DataFrame, nbits: int) -> np.ndarray:
-    """A bitmap of the grams; each of at most 8 tasks sends one of ``nbits`` bits, whatever the number of grams."""
+def _filter_of(grams: DataFrame, nbits: int, spread: bool = False) -> np.ndarray:
+    """A bitmap of the grams, or of other numbers, spread out first; each of at most 8 tasks sends one of ``nbits`` bits,
+    whatever the number of grams."""
 
     def bitmap(batches):
         own = np.zeros(nbits // 8, np.uint8)
         for pdf in batches:
-            slot = pdf["gram"].to_numpy(np.int64).view(np.uint64) % np.uint64(nbits)
+            slot = pdf["gram"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 if spread else 1) % np.uint64(nbits)
             np.bitwise_or.at(own, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
         yield pd.DataFrame({"bits": [own.tobytes()]})
 
@@ -60,6 +66,13 @@ def _filter_of(grams: DataFrame, nbits: int) -> np.ndarray:
     return out
 
 
+def _let_through(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slot = batch.column("doc_id").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) % np.uint64(len(bits) * 8)
+        keep = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
+        yield batch.filter(pa.array(keep == 1))
+
+
 def align(doc: np.ndarray, item: np.ndarray, match: float = 2.0, mismatch: float = -1.0, gap: float = -1.0) -> tuple[float, int, int]:
     """Smith-Waterman over word ids: the best local score, the longest run of equal words, and where that run ends."""
     n = len(doc)
@@ -112,7 +125,8 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, n: int = N, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Documents that share at least ``run`` consecutive words with an item, and how the two align.
+    """Documents that share at least ``run`` consecutive words with an item, or align with it by at least half of its own
+    score, as a copy does of which every tenth word is another.
 
     ``documents``: doc_id, text; ``items``: item_id, text; other columns are ignored. Columns out: doc_id, item_id, score
     (2 a word matched, -1 a word changed, added or left out), item_share (score against the whole item's), longest_run,
@@ -122,24 +136,27 @@ def find_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, n: int =
     """
     if run < n:
         raise ValueError("run must be at least n")
+    send = documents.sparkSession.sparkContext.broadcast
     items = items.select("item_id", "text").where("text IS NOT NULL").dropDuplicates(["item_id"])
     item_grams = items.mapInPandas(lambda b: _grams(b, "item_id", n, None), "item_id long, pos int, gram long")
-    bits = documents.sparkSession.sparkContext.broadcast(_filter_of(item_grams, filter_bits))
-    docs = documents.select("doc_id", "text")
-    hits = docs.mapInPandas(lambda b: _grams(b, "doc_id", n, bits.value), HIT_SCHEMA)
-    hits = materialize(hits)
+    bits = send(_filter_of(item_grams, filter_bits))
+    docs = documents.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    hits = materialize(docs.mapInPandas(lambda b: _grams(b, "doc_id", n, bits.value), HIT_SCHEMA))
     counts = hits.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = item_grams.join(counts, "gram", "left").select("item_id", "pos", "gram", F.coalesce("df", F.lit(0)).alias("df"))
     ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, run - n)
-    seeds = (
-        ranked.withColumns({"best": F.min(F.struct("df", "pos", "gram")).over(ahead), "width": F.count("*").over(ahead)})
-        .where((F.col("width") == run - n + 1) & (F.col("best.df") > 0))
-        .select("item_id", F.col("best.pos").alias("ipos"), F.col("best.gram").alias("gram"))
-        .distinct()
-    )
-    pairs = hits.join(seeds, "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("pos", "ipos")).alias("places"))
-    by_doc = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "places")).alias("seeds"))
-    passages = docs.where("text IS NOT NULL").join(by_doc, "doc_id")
-    return passages.mapInPandas(_verify, LEAK_SCHEMA).where(F.col("longest_run") >= run).groupBy("doc_id", "item_id").agg(
+    windows = ranked.withColumns({"best": F.min(F.struct("df", "pos", "gram")).over(ahead), "width": F.count("*").over(ahead), "grams": F.count("*").over(Window.partitionBy("item_id"))})
+    whole = windows.where((F.col("width") == run - n + 1) & (F.col("best.df") > 0)).select("item_id", F.col("best.pos").alias("ipos"), F.col("best.gram").alias("gram"), F.lit(True).alias("whole"))
+    seldom = F.col("df").between(1, max(1, int(RARE_SHARE * docs.count())))
+    rare = windows.where(seldom & (F.col("grams") > run - n)).select("item_id", F.col("pos").alias("ipos"), "gram", F.lit(False).alias("whole"))
+    # The seeds are a table of known size, so that they are sent to the hits if they are few.
+    seeds = written(whole.unionByName(rare).groupBy("item_id", "ipos", "gram").agg(F.max("whole").alias("whole")))
+    pairs = hits.join(seeds, "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("pos", "ipos")).alias("places"), F.max("whole").alias("whole"))
+    pairs = pairs.where(F.col("whole") | (F.size("places") >= LEAST_SEEDS)).select("doc_id", "item_id", "places")
+    by_doc = written(pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "places")).alias("seeds")))
+    wanted = send(_filter_of(by_doc.select(F.col("doc_id").alias("gram")), filter_bits, True))
+    passages = docs.mapInArrow(lambda b: _let_through(b, wanted.value), "doc_id long, text string").join(by_doc, "doc_id")
+    kept = passages.mapInPandas(_verify, LEAK_SCHEMA).where((F.col("longest_run") >= run) | (F.col("item_share") >= EDITED_SHARE))
+    return kept.groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.max("item_share").alias("item_share"), F.max("longest_run").alias("longest_run"), F.min("doc_word").alias("doc_word")
     )

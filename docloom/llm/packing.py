@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docloom.tables import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SHARD_DOCS = 50_000
+SHARD_DOCS = 10_000
 PLACED_SCHEMA = "used_for string, doc_id long, part int, container string, offset int, n_tokens int"
 
 
@@ -105,4 +105,5 @@ def pack_documents(documents: DataFrame, limits: list[tuple[str, int]], tokenize
         return pd.concat(out)
 
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    return counts.withColumn("shard", shard).groupBy("shard").applyInPandas(place, PLACED_SCHEMA)
+    # One partition a shard, whatever its bytes: adaptive execution would merge shards of few bytes into one task.
+    return counts.withColumn("shard", shard).repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(place, PLACED_SCHEMA)

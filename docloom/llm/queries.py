@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.boilerplate import main_text, page_lines
-from docloom.llm.leaks import find_leaks
+from docloom.llm.leaks import RUN, find_leaks
 from docloom.llm.matching import match_records
 from docloom.llm.names import author_clusters, spelling_pairs
 from docloom.llm.packing import pack_documents
@@ -33,7 +33,7 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return p7_leaks(spark, sf_dir).where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

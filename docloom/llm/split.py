@@ -62,8 +62,8 @@ def _strongest(at: np.ndarray, strength: np.ndarray, low: int, high: int, target
 def split_text(text: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
     """[start, end) of each piece of ``text`` in code points.
 
-    Every piece has at most ``max_size`` characters; each begins at most ``overlap`` characters before the end of the one
-    before it, at a boundary where there is one; together they cover the text. An overlap of max_size or more counts as
+    Every piece has at most ``max_size`` characters; each begins ``overlap`` characters before the end of the one before it,
+    or up to a quarter of that later, at a boundary where there is one there; together they cover the text. An overlap of max_size or more counts as
     half of it. A text within the limit is one piece, the empty text none.
     """
     if max_size < 1:
@@ -87,7 +87,8 @@ def split_text(text: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
                 cut = _whole(text, min(max(last + 1, int(target)), start + max_size), last)
             pieces.append((start, cut))
             last = cut
-            back = _strongest(at, np.minimum(strength, 4), max(cut - overlap, start + 1), cut - 1, cut - overlap) if overlap else cut
+            # The next piece begins at the strongest boundary within a quarter of the overlap from where it should.
+            back = _strongest(at, np.minimum(strength, 4), max(cut - overlap, start + 1), max(cut - overlap + overlap // 4, start + 1), cut - overlap) if overlap else cut
             if back is None:
                 back = max(cut - overlap, start + 1)
                 while back < cut and _joined(text, back):

@@ -41,7 +41,7 @@ def test_every_shared_run_is_found(spark):
     ]
     items = [(10, ITEM, "s"), (10, ITEM, "s"), (11, "too short to leak", "s"), (12, None, "s")]
     d, i = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string, doc_id string")
-    got = {r.doc_id: r for r in find_leaks(d, i).collect()}
+    got = {r.doc_id: r for r in find_leaks(d, i).where("longest_run >= 12").collect()}
     brute = set()
     target = words(ITEM)
     grams = {tuple(target[k : k + 12]) for k in range(len(target) - 11)}
@@ -51,7 +51,26 @@ def test_every_shared_run_is_found(spark):
             brute.add(doc)
     assert set(got) == brute == {1, 2, 4, 7, 8, 9} and got[1].item_share == 1.0 and got[2].longest_run == 12 and 0.5 < got[7].item_share < 1
     assert find_leaks(d.limit(0), i).count() == 0 and find_leaks(d, i.limit(0)).count() == 0
-    assert {r.doc_id for r in find_leaks(d, i, filter_bits=64).collect()} == brute  # a filter that lets nearly all through changes nothing
+    assert {r.doc_id for r in find_leaks(d, i, filter_bits=64).where("longest_run >= 12").collect()} == brute  # a filter that lets nearly all through changes nothing
+
+
+def test_edited_copies_are_found_by_alignment(spark):
+    """An item of sixty words of which every tenth is another: no run of twelve, so that only the alignment tells."""
+    rng = random.Random(7)
+    made = lambda n: ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(n)]
+    item, noise = made(60), [made(80) for _ in range(30)]
+    edited = [w if k % 10 != 4 else "other" for k, w in enumerate(item)]
+    dropped = [w for k, w in enumerate(item) if k % 9 != 3]
+    docs = [(k, " ".join(n)) for k, n in enumerate(noise)] + [(100, " ".join(noise[0][:40] + edited + noise[1])), (101, " ".join(dropped)), (102, " ".join(noise[2] + item[20:27] + noise[3]))]
+    got = {r.doc_id: r for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == {100, 101} and all(r.longest_run < 12 and r.item_share > 0.8 for r in got.values())
+
+
+def test_the_corpus_stays_where_it_is(spark):
+    """Only documents with seeds are exchanged."""
+    texts = [(k, f"text {k} of no item at all and its many plain words") for k in range(500)] + [(900, "before " + ITEM)]
+    out = find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert [r.doc_id for r in out.collect()] == [900] and "MapInArrow" in out._jdf.queryExecution().toString()
 
 
 @settings(max_examples=50, deadline=None)

@@ -35,6 +35,14 @@ def test_cuts_at_natural_boundaries():
         split_text("a", 0, 0)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "a, ", "end. ", "x" * 9, "\n", "\n\n"]), min_size=60, max_size=400))
+def test_overlap_is_near_what_was_asked(parts):
+    text, size, overlap = "".join(parts), 100, 20
+    spans = split_text(text, size, overlap)
+    assert all(0.75 * overlap <= b - c <= overlap for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_rows(spark):
     rows = [("block", 1, 0, "word " * 50, 100, 10, "e"), ("block", 1, 0, "word " * 50, 100, 10, "e"), ("block", 2, 0, "x" * 100, 100, 10, "e"), ("block", 3, 0, None, 100, 10, "e"), ("block", 4, 0, "", 100, None, "e"), ("selection", 5, -1, "y" * 101, 100, None, "e"), ("other", 6, -1, "y" * 101, None, 1, "e")]
     df = spark.createDataFrame(rows, "item_kind string, item_id long, block_index long, text string, max_size long, overlap long, pieces string")
