@@ -14,16 +14,35 @@ LOOKALIKES = str.maketrans(
     "aeopcyxijsdhqwbkmhtABE3KMHOPCTYXIJSGaoepvikTuxABEZHIKMNOPTYXil" + "-" * 7 + "'" * 6,
 )
 INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
-INSIDE = re.compile(r"(?<=[^\W_])(?:-(?:[ \t]*\r?\n[ \t>|*]*)?|')(?=[^\W_])")
+INSIDE = re.compile(r"[-'](?<=[^\W_].)(?:(?<=-)[ \t]*\r?\n[ \t>|*]*)?(?=[^\W_])")  # begins with its sign, which is quick to look for
+BETWEEN = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 WORD = re.compile(r"[^\W_]+")
 
 
+FLAT = {**LOOKALIKES, **INVISIBLE, ord("İ"): "I"}
+
+
+class Unmarked(dict):
+    """Words without their letters' marks, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+        return self[word]
+
+
+UNMARKED = Unmarked()
+
+
 def words(text: str) -> list[str]:
     """Words of ``text``; a hyphenated compound, also one broken at a line end, is one word."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(INVISIBLE).translate(LOOKALIKES)).translate(LOOKALIKES)
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    return WORD.findall(INSIDE.sub("", text.lower()))
+    if text.isascii():
+        return INSIDE.sub("", text.lower()).encode().translate(BETWEEN).decode().split()
+    text = text.translate(FLAT)
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text).translate(FLAT)
+    return [w if w.isascii() else UNMARKED[w] for w in WORD.findall(INSIDE.sub("", text.lower()))]
 
 
 class WordIds(dict):
