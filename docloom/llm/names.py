@@ -3,8 +3,8 @@
 Spellings are first brought to parts: family name, given name, initials; for organisations head and field words. Spellings
 with equal parts are one node, so no pairs arise within a group of copies, and a family name is one row however many
 spellings hold it. Typing errors are found among the distinct family and given names by MinHash banding over padded
-q-grams, the number of bands taken from the collision curve for the wanted recall; candidates are verified by edit
-distance and Monge-Elkan similarity, and star clustering joins each spelling to the most used one near it. Initials and
+q-grams, the number of bands taken from the collision curve for the wanted recall; the spellings that they lead to are
+verified by the Monge-Elkan similarity of all their parts, and star clustering joins each to the most used one near it. Initials and
 nicknames join the one author that they fit.
 """
 
@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.tables import materialize
+from docloom.tables import materialize, written
 
 # Bylines that name nobody, titles and suffixes, particles of family names, legal forms.
 NOBODY = "staff|editorial desk|editor|editors|editorial|editorial team|editorial staff|admin|administrator|newsroom|news desk|team|the team|redaktion|redacción|rédaction|unknown|anonymous|n/a|none|guest|guest author|webmaster|author|various|press office|research desk|markets desk|contributor|staff writer".split("|")
@@ -47,6 +47,7 @@ walter walt|william bill billy will willy liam|zachary zach|nadia nadi|dmitri di
 matteo teo|marie mimi|oscar ossie|olga olya|irina ira|pavel pasha|jose pepe|pedro perico|lucia lucy|hans hansi|jurgen jurg|ingrid inga
 """
 Q, ROWS = 2, 3
+SAME_SPELLING = 0.9  # from this Monge-Elkan similarity of all parts on two spellings are one name's
 NAME_SCHEMA = "text string, n long, kind string, fixed boolean, given array<string>, family array<string>, initials array<string>, hyphen boolean, tokens array<string>"
 PART_SCHEMA = "text string, n long, kind string, s string, g string, i string, hy string, m string"
 PAIR_SCHEMA = "a string, b string"
@@ -266,14 +267,18 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
 
 
 def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs of whole spellings (their parts, given name first) that Monge-Elkan similarity holds for one name. An
+    organisation's field letters stand in the given name's place."""
     for pdf in batches:
-        keep = [edit_distance(a, b, 1) <= 1 and monge_elkan([a], [b]) >= similarity for a, b in zip(pdf["a"], pdf["b"], strict=True)]
+        parts = zip(pdf["a_g"], pdf["a_s"], pdf["b_g"], pdf["b_s"], strict=True)
+        keep = [monge_elkan([g, s], [h, t]) >= similarity for g, s, h, t in parts]
         yield pdf[keep]
 
 
-def _deletions(word: str) -> list[str]:
+def deletions(word: Column) -> Column:
     """The word and what remains of it without each of its letters."""
-    return list({word, *(word[:k] + word[k + 1 :] for k in range(len(word)))})
+    without = F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.concat(F.substring(word, F.lit(1), k - 1), F.substring(word, k + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), without))
 
 
 def error_similarity(length: int, q: int = Q) -> float:
@@ -283,13 +288,14 @@ def error_similarity(length: int, q: int = Q) -> float:
     return max(grams - q - 1, 0) / (grams + q + 1)
 
 
-def similar_words(words: DataFrame, recall: float = 0.99, verify: float = 0.8, shortest: int = 6, largest: int = 200) -> DataFrame:
+def similar_words(words: DataFrame, recall: float = 0.99, shortest: int = 6, largest: int = 200) -> DataFrame:
     """Pairs (kind, a, b) of distinct words one typing error apart, a the one of less weight.
 
     ``words``: kind, word, weight. Words of ``shortest`` letters or more are banded, each length with as many bands as the
     collision curve asks for ``recall`` at its error_similarity. Words up to that length, whose q-grams an error changes
     nearly all, and the words of buckets above ``largest`` are compared by what remains when one letter is left out, which
-    finds every pair one edit apart and costs each word its length.
+    finds every pair one edit apart and costs each word its length. Words of one or two letters have no errors: one letter
+    more or less makes another word of them.
     """
     bands_of = {length: bands_for(error_similarity(length), recall) for length in range(shortest, 25)}
     most = max(bands_of.values())
@@ -297,32 +303,30 @@ def similar_words(words: DataFrame, recall: float = 0.99, verify: float = 0.8, s
     words = words.select("kind", "word", "weight")
     wanted = F.element_at(F.create_map(*[F.lit(x) for kv in bands_of.items() for x in kv]), F.least(F.length("word"), F.lit(24)))
     signed = words.where(F.length("word") >= shortest).mapInPandas(lambda b: _minhash(b, most, ROWS), schema).where(F.col("band") < wanted)
-    signed = materialize(signed)
-    sizes = signed.groupBy("kind", "band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    small = signed.join(sizes.where(F.col("size") <= largest), ["kind", "band", "key"])
-    left, right = small.select("kind", "band", "key", F.col("word").alias("a"), F.col("weight").alias("wa")), small.select("kind", "band", "key", F.col("word").alias("b"), F.col("weight").alias("wb"))
+    # The size of each bucket stands beside its words, so that the table is read once for small and large ones.
+    signed = written(signed.withColumn("size", F.count("*").over(Window.partitionBy("kind", "band", "key"))).where("size > 1"))
+    small = signed.where(F.col("size") <= largest)
+    side = lambda df, p: df.select("kind", *[c for c in ("band", "key", "rest") if c in df.columns], F.col("word").alias(p), F.col("weight").alias(f"w{p}"))
     lighter = (F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") > F.col("b")))
-    near = F.abs(F.length("a") - F.length("b")) <= 1
-    pairs = left.join(right, ["kind", "band", "key"]).where(lighter & near & (F.levenshtein("a", "b", 2) >= 0)).select("kind", "a", "b")
-    short = words.where(F.length("word").between(3, shortest))
-    large = signed.join(sizes.where(F.col("size") > largest), ["kind", "band", "key"]).select("kind", "word", "weight")
-    cut = F.udf(_deletions, "array<string>")
-    rest = large.unionByName(short).distinct().withColumn("rest", F.explode(cut("word")))
-    more = rest.select("kind", "rest", F.col("word").alias("a"), F.col("weight").alias("wa")).join(rest.select("kind", "rest", F.col("word").alias("b"), F.col("weight").alias("wb")), ["kind", "rest"]).where(lighter).select("kind", "a", "b")
-    return pairs.unionByName(more).distinct().mapInPandas(lambda b: _verified(b, verify), "kind string, a string, b string")
+    # One letter changed, added or left out, or two neighbours exchanged.
+    at = F.length(F.regexp_extract(F.concat("a", F.lit("\x01"), "b"), r"^(.*).*\x01\1", 1)) + 1
+    swapped = (F.length("a") == F.length("b")) & (F.concat(F.substring("a", F.lit(1), at - 1), F.substring("a", at + 1, F.lit(1)), F.substring("a", at, F.lit(1)), F.substring("a", at + 2, F.length("a"))) == F.col("b"))
+    one_error = (F.levenshtein("a", "b", 1) >= 0) | swapped
+    pairs = side(small, "a").join(side(small, "b"), ["kind", "band", "key"]).where(lighter & one_error).select("kind", "a", "b")
+    rest = words.where(F.length("word").between(3, shortest)).unionByName(signed.where(F.col("size") > largest).select("kind", "word", "weight")).distinct().withColumn("rest", F.explode(deletions(F.col("word"))))
+    more = side(rest, "a").join(side(rest, "b"), ["kind", "rest"]).where(lighter & one_error).select("kind", "a", "b")
+    return pairs.unionByName(more).distinct()
 
 
-def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
+def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, center): each node's star. ``nodes``: node, rank (higher first, no ties); ``edges``: a, b, ra, rb with the
     ranks of both ends, given both ways.
 
-    A node without an unassigned neighbour of higher rank becomes a center and takes its unassigned neighbours. Nodes
-    left after ``rounds`` stay alone.
+    A node without an unassigned neighbour of higher rank becomes a center and takes its unassigned neighbours, until no
+    edge has two unassigned ends; every round assigns the node of highest rank at least, so it ends.
     """
     live, done = materialize(edges.distinct()), None
-    for _ in range(rounds):
-        if not live.take(1):
-            break
+    while live.take(1):
         centers = live.groupBy("a").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb")).where("ra > rb").select(F.col("a").alias("center"))
         reached = live.join(centers, live.a == centers.center).groupBy("b").agg(F.max_by("a", "ra").alias("center"))
         found = materialize(reached.withColumnRenamed("b", "node").unionByName(centers.select(F.col("center").alias("node"), "center")))
@@ -367,14 +371,7 @@ def author_clusters(authors: DataFrame) -> DataFrame:
     # Family names (and heads of organisations) and given names one error apart, in one pass over their words.
     s_words = parts.groupBy(F.concat(F.lit("s-"), "kind").alias("kind"), F.col("s").alias("word")).agg(F.sum("n").alias("weight"))
     g_words = nodes.where("kind = 'person'").groupBy(F.lit("g-person").alias("kind"), F.col("g").alias("word")).agg(F.count("*").alias("weight"))
-    words = materialize(s_words.unionByName(g_words))
-    weights = words.select("kind", "word", "weight")
-    pairs = similar_words(words)
-    pairs = pairs.join(weights.select("kind", F.col("word").alias("a"), F.col("weight").alias("wa")), ["kind", "a"])
-    pairs = pairs.join(weights.select("kind", F.col("word").alias("b"), F.col("weight").alias("wb")), ["kind", "b"])
-    # Two given names in wide use are no error of each other.
-    near = pairs.where("kind <> 'g-person' OR wa <= 3 OR wa * 20 <= wb").groupBy("kind", "a").agg(F.collect_list("b").alias("near"))
-    near = materialize(near)
+    near = materialize(similar_words(s_words.unionByName(g_words)).groupBy("kind", "a").agg(F.collect_list("b").alias("near")))
 
     # What each node may be a spelling of, looked up among the nodes.
     s_near = near.select(F.substring("kind", 3, 6).alias("kind"), F.col("a").alias("s"), F.col("near").alias("s_near")).where("kind <> 'g-person'")
@@ -391,10 +388,17 @@ def author_clusters(authors: DataFrame) -> DataFrame:
         made("short", fulls, lambda x: (F.col("s").alias("s"), x.alias("g"))),
         F.array(F.struct(F.lit("vowel").alias("how"), plain("s").alias("s"), plain("g").alias("g"))),
     )
-    wanted = wide.select("kind", F.col("node").alias("a"), F.col("rank").alias("ra"), F.explode(targets).alias("t")).select("kind", "a", "ra", "t.*")
+    wanted = wide.select("kind", F.col("node").alias("a"), F.col("rank").alias("ra"), F.col("s").alias("a_s"), F.col("g").alias("a_g"), F.explode(targets).alias("t")).select("kind", "a", "ra", "a_s", "a_g", "t.*")
     known = nodes.select("kind", "s", "g", F.col("node").alias("b"), F.col("rank").alias("rb"))
-    edges = wanted.join(known, ["kind", "s", "g"]).where("a <> b").groupBy("a", "ra", "how").agg(F.collect_set(F.struct("b", "rb")).alias("ends"))
-    edges = edges.where("how <> 'short' OR size(ends) = 1").select("a", "ra", F.explode("ends").alias("e")).select("a", "ra", "e.b", "e.rb")
+    edges = wanted.join(known, ["kind", "s", "g"]).where("a <> b").select("a", "ra", "how", "b", "rb", "a_s", "a_g", F.col("s").alias("b_s"), F.col("g").alias("b_g"))
+    # A given name in wide use by itself is no error of a near one: an error stands where the right spelling does, with most of
+    # its family names. Short forms count where they fit one name only. What is left is verified as whole spellings.
+    spread = nodes.where("kind = 'person'").groupBy(F.col("g").alias("a_g")).agg(F.count("*").alias("families"))
+    beside = edges.where("how = 'given'").groupBy("a_g", "b_g").agg(F.count_distinct("a").alias("both")).join(spread, "a_g").where(F.col("both") * 2 >= F.col("families")).select("a_g", "b_g")
+    given = edges.where("how = 'given'").join(beside, ["a_g", "b_g"]).select(*edges.columns)
+    single = edges.where("how = 'short'").withColumn("n", F.size(F.collect_set("b").over(Window.partitionBy("a")))).where("n = 1").drop("n")
+    errors = edges.where("how IN ('family', 'vowel')").unionByName(given).distinct().mapInPandas(lambda b: _verified(b, SAME_SPELLING), edges.schema)
+    edges = errors.unionByName(single).select("a", "ra", "b", "rb")
     edges = edges.select(F.explode(F.array(F.struct("a", "b", "ra", "rb"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb")))).alias("e")).select("e.*")
     stars = star_clusters(nodes, edges)
     compound = F.regexp_extract(F.lower("text"), r"(\p{L})\p{L}+[-‐‑]\p{L}\p{L}+", 1)

@@ -53,15 +53,53 @@ def test_banding_recall(spark):
         typed.append(rng.choice([w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + "x" + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + "q" + w[k:]]))
     words = [("w", w, 5) for w in base] + [("w", w, 1) for w in sorted(set(typed) - set(base))]
     df = spark.createDataFrame(words, "kind string, word string, weight long")
-    got = {tuple(sorted((r.a, r.b))) for r in similar_words(df, verify=0.0).collect()}
+    got = {tuple(sorted((r.a, r.b))) for r in similar_words(df).collect()}
     every = sorted(w for _, w, _ in words)
     want = {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if abs(len(a) - len(b)) <= 1 and min(len(a), len(b)) >= 3 and edit_distance(a, b, 1) == 1}
     assert got <= want and len(got & want) >= 0.98 * len(want)
-    tiny = {tuple(sorted((r.a, r.b))) for r in similar_words(df, verify=0.0, largest=1).collect()}
+    tiny = {tuple(sorted((r.a, r.b))) for r in similar_words(df, largest=1).collect()}
     assert tiny == want  # oversized buckets are compared exactly
     assert qgrams("ab") == {"^a", "ab", "b$"}
 
 
+def test_stars_of_a_long_chain(spark):
+    """More rounds than any number set beforehand: each round ends one star of the chain."""
+    n = 45
+    nodes = spark.createDataFrame([(i, n - i) for i in range(n)], "node long, rank long")
+    pairs = [(i, i + 1) for i in range(n - 1)]
+    edges = spark.createDataFrame([(a, b, n - a, n - b) for a, b in pairs] + [(b, a, n - b, n - a) for a, b in pairs], "a long, b long, ra long, rb long")
+    assert {r.node: r.center for r in star_clusters(nodes, edges).collect()} == {i: i - i % 2 for i in range(n)}
+
+
+def test_errors_of_names_in_wide_use(spark):
+    """An error of a common given name is linked however often it is made, and two common names never, whatever the scale."""
+    for n in (6, 60):
+        rng = random.Random(n)
+        families = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5)) for _ in range(2 * n)]
+        names = [f"Robert {f.title()}" for f in families[:n]] * 3 + [f"Robertt {f.title()}" for f in families[: n // 2]] + [f"Andrew {f.title()}" for f in families[:n]] + [f"Andre {f.title()}" for f in families[n:]] + [f"Andre {families[0].title()}"]
+        got = {r.text: r.author for r in author_clusters(spark.createDataFrame([(t,) for t in names], "text string")).collect()}
+        assert all(got[f"Robertt {f.title()}"] == got[f"Robert {f.title()}"] for f in families[: n // 2])
+        assert got[f"Andre {families[0].title()}"] != got[f"Andrew {families[0].title()}"]
+
+
+def test_recall_of_whole_spellings(spark, data):
+    """Spellings made from the names of whole tables, each with one error, find their name; both at once are one in all."""
+    from pyspark.sql import functions as F
+
+    from docloom.tables import table
+
+    rng = random.Random(11)
+    plain = sorted({r.t for r in table(spark, data, "candidates").select(F.explode("authors").alias("t")).where(r"t RLIKE '^\\p{Lu}\\p{Ll}{2,} (\\p{Lu}[.] )?\\p{Lu}\\p{Ll}{5,}$'").distinct().collect()})
+    typed = {}
+    for t in plain:
+        k = rng.randrange(t.rindex(" ") + 2, len(t) - 1)
+        typed[rng.choice([t[:k] + t[k + 1] + t[k] + t[k + 2 :], t[:k] + "x" + t[k + 1 :], t[:k] + t[k + 1 :], t[:k] + "q" + t[k:]])] = t
+    rows = [(t,) for t in plain for _ in range(3)] + [(t,) for t in typed if t not in plain]
+    got = {r.text: r.author for r in author_clusters(spark.createDataFrame(rows, "text string")).collect()}
+    found = [got[a] == got[b] for a, b in typed.items() if a not in plain]
+    assert len(found) > 50 and sum(found) >= 0.95 * len(found)
+
+
 def test_stars(spark):
     nodes = spark.createDataFrame([(i, 10 - i) for i in range(6)], "node long, rank long")
     pairs = [(0, 1), (1, 2), (2, 3), (4, 4)]
