@@ -391,13 +391,14 @@ def author_clusters(authors: DataFrame) -> DataFrame:
     wanted = wide.select("kind", F.col("node").alias("a"), F.col("rank").alias("ra"), F.col("s").alias("a_s"), F.col("g").alias("a_g"), F.explode(targets).alias("t")).select("kind", "a", "ra", "a_s", "a_g", "t.*")
     known = nodes.select("kind", "s", "g", F.col("node").alias("b"), F.col("rank").alias("rb"))
     edges = wanted.join(known, ["kind", "s", "g"]).where("a <> b").select("a", "ra", "how", "b", "rb", "a_s", "a_g", F.col("s").alias("b_s"), F.col("g").alias("b_g"))
+    edges = written(edges.distinct())  # small, and read four times
     # A given name in wide use by itself is no error of a near one: an error stands where the right spelling does, with most of
     # its family names. Short forms count where they fit one name only. What is left is verified as whole spellings.
     spread = nodes.where("kind = 'person'").groupBy(F.col("g").alias("a_g")).agg(F.count("*").alias("families"))
     beside = edges.where("how = 'given'").groupBy("a_g", "b_g").agg(F.count_distinct("a").alias("both")).join(spread, "a_g").where(F.col("both") * 2 >= F.col("families")).select("a_g", "b_g")
     given = edges.where("how = 'given'").join(beside, ["a_g", "b_g"]).select(*edges.columns)
     single = edges.where("how = 'short'").withColumn("n", F.size(F.collect_set("b").over(Window.partitionBy("a")))).where("n = 1").drop("n")
-    errors = edges.where("how IN ('family', 'vowel')").unionByName(given).distinct().mapInPandas(lambda b: _verified(b, SAME_SPELLING), edges.schema)
+    errors = edges.where("how IN ('family', 'vowel')").unionByName(given).mapInPandas(lambda b: _verified(b, SAME_SPELLING), edges.schema)
     edges = errors.unionByName(single).select("a", "ra", "b", "rb")
     edges = edges.select(F.explode(F.array(F.struct("a", "b", "ra", "rb"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb")))).alias("e")).select("e.*")
     stars = star_clusters(nodes, edges)
