@@ -144,15 +144,23 @@ class TokenKinds(dict):
 
 
 
-def repaired(text: str) -> str:
-    """``text`` with UTF-8 undone that was once read as Latin-1 or Windows-1252, where that is possible throughout."""
-    if re.search(r"[Â-ô][\u0080-¿Œ-™]", text):
+BROKEN = re.compile(r"[Â-ô][\u0080-¿Œ-™]")
+
+
+def _repaired_line(line: str) -> str:
+    if BROKEN.search(line) and sum(c > "\x7f" for c in line) * 2 <= len(line):
         for codec in ("latin-1", "cp1252"):
             try:
-                return text.encode(codec).decode("utf-8")
+                return line.encode(codec).decode("utf-8")
             except (UnicodeEncodeError, UnicodeDecodeError):
                 continue
-    return text
+    return line
+
+
+def repaired(text: str) -> str:
+    """``text`` with UTF-8 undone that was once read as Latin-1 or Windows-1252, in lines where that is possible throughout. A
+    line of which such signs are the larger part stays: nobody can read it, so it is no prose as it stands."""
+    return "\n".join(map(_repaired_line, text.split("\n"))) if BROKEN.search(text) else text
 
 
 CHUNK = 1 << 20

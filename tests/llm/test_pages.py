@@ -112,6 +112,15 @@ def test_structures():
     assert both[0] < 0.5 < both[1]
 
 
+def test_text_that_nobody_can_read_is_no_prose():
+    """German with broken letters stays prose; Chinese that is nothing but broken letters is junk, sound Chinese prose."""
+    chinese = "在扣除成本之后，模型降低了收益率曲线。对小账户而言，样本限制了估计的溢价，而且波动率限制了秋季的损失。"
+    german = "Der Sturm schwächt die Schiffe, weil der Hafen über Nacht geschlossen ist und niemand die Küste erreicht."
+    broken = lambda t: t.encode().decode("latin-1")
+    shares = describe([chinese, german, broken(german), broken(chinese), german + "\n\n" + broken(chinese)], Profiles())["prose_share"]
+    assert list(shares[:4] >= 0.5) == [True, True, True, False] and 0 < shares[4] < 1
+
+
 def test_texts_in_a_chunk_do_not_touch_each_other():
     p, texts = Profiles(), [t for ts in TEXTS.values() for t in ts]
     alone = [describe([t], p) for t in texts]
@@ -136,4 +145,4 @@ def test_helpers():
 
     p, q = np.array([[1.0, 0.0]], np.float32), np.array([[0.0, 1.0], [1.0, 0.0]], np.float32)
     assert np.allclose(divergence(p, q), [[1.0, 0.0]], atol=1e-5)
-    assert repaired("schwÃ¤cht") == "schwächt" and repaired("schwächt") == "schwächt" and lowered("ONE TWO THREE FOUR FIVE\nAB") == "one two three four five\nAB"
+    assert repaired("schwÃ¤cht") == "schwächt" and repaired("schwächt") == "schwächt" and repaired("schwÃ¤cht\nå¯¹å°") == "schwächt\nå¯¹å°" and lowered("ONE TWO THREE FOUR FIVE\nAB") == "one two three four five\nAB"
