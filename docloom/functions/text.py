@@ -5,29 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words without meaning of their own, and the sentence-signal lexicon.
+# Words without meaning of their own.
 STOP_WORDS = "the a an of and or with on in to for by is are when if its their than that each at be".split()
+# What sentences say about their own work, by signal; words by which they speak of it, and by which they deny it;
+# the heading of a reference list. They must equal those whose results are matched.
 SIGNALS = {
-    "code_available": r"github\.com|source code|code is (publicly )?available|replication (code|package)",
+    "out_of_sample": r"out(-\s?| )of(-\s?| )sample|walk(-\s?| )forward|hold[- ]?out (period|sample|set)|held[- ]out (period|sample|data|set)|test (period|sample|set)",
     "costs_considered": r"transaction costs?|trading costs?|slippage|bid[- ]ask|commissions?",
-    "cross_market": r"(^|[^a-z0-9_])international ((stock|equity|bond) )?(markets|samples?|evidence|data)([^a-z0-9_]|$)|across ([a-z0-9_]+ )?(countries|markets|asset classes|exchanges|venues)",
-    "out_of_sample": r"out[- ]of[- ]sample|walk[- ]forward|hold[- ]?out (period|sample|set)|held[- ]out (period|sample|data|set)|separate test|test (period|sample|set)",
-    "sample_period": r"(^|[^a-z0-9_])(19|20)[0-9][0-9] ?(-|–|to|through|until) ?(19|20)[0-9][0-9]([^a-z0-9_]|$)",
+    "code_available": r"github\.com|source code|code is (publicly )?available|replication (code|package)",
+    "sample_period": r"\b(19|20)\d\d\s?(-|–|to|through|until)\s?(19|20)\d\d\b",
+    "cross_market": r"\binternational ((stock|equity|bond) )?(markets|samples?|evidence|data)\b|across (\w+ )?(countries|markets|asset classes|exchanges)|\b\d+ (countries|markets|asset classes|exchanges)\b",
 }
-OWN_WORK = r"(^|[^a-z0-9_])(we|our|this (paper|study|article|work|note|analysis))([^a-z0-9_]|$)"
-NOT_DONE = r"(^|[^a-z0-9_])(no|not|never|avoid[a-z0-9_]*|ignor[a-z0-9_]*|neglect[a-z0-9_]*|exclud[a-z0-9_]*|future (research|work|studies)|beyond the scope|left for)([^a-z0-9_]|$)"
+OWN_WORK = r"\b(we|our|this (paper|study|article|work|note|analysis))\b"
+NOT_DONE = r"\b(no|not|never|avoid\w*|ignor\w*|neglect\w*|exclud\w*|future (research|work|studies)|beyond the scope|left for)\b"
+REFERENCE_LIST = r"(?im)^\s*(?:references|bibliography|literature cited)\s*$"
+# Phrases that address a model's instructions.
 INJECTIONS = (
-    r"ignore (all |any )?(the )?(previous|prior|above) (instructions|prompts|messages)", r"disregard (all |any )?(the )?(previous|prior|above|system)",
-    r"forget (all |your )?(previous |prior )?instructions", r"you are now (a|an|the) ", r"new (system )?instructions?:",
-    r"(reveal|print|show|output) (your|the) (system prompt|instructions|api key|credentials|secrets?)", r"(run|execute) (the following|this) (command|code|script)",
-    r"< */? *(system|assistant) *>", r"begin (system|admin) prompt", r"(disable|turn off|bypass) (the )?(safety|guardrails|rate limits?|restrictions)",
-)
+    r"ignore (all |any )?(the )?(previous|prior|above) (instructions|prompts|messages)",
+    r"disregard (all |any )?(the )?(previous|prior|above|system)",
+    r"forget (all |your )?(previous |prior )?instructions",
+    r"you are now (a|an|the) ",
+    r"new (system )?instructions?:",
+    r"(reveal|print|show|output) (your|the) (system prompt|instructions|api key|credentials|secrets?)",
+    r"(run|execute) (the following|this) (command|code|script)",
+    r"<\s*/?\s*(system|assistant)\s*>",
+    r"\bBEGIN (SYSTEM|ADMIN) PROMPT\b",
+    r"(disable|turn off|bypass) (the )?(safety|guardrails|rate limits?|restrictions)",
+    r"\b(you (must|should|need to|will|have to)|please|now|immediately) (place|submit|execute) (a |the |some )?(live )?(trade|order)s?\b",
+)
 
 
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
 
+def without_references(text: Column) -> Column:
+    """``text`` up to its list of references, which is other people's work."""
+    return F.get(F.split(text, REFERENCE_LIST, 2), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     """Array of sentences: cut behind an end mark and blanks, before a capital, bracket or parenthesis."""
     marked = F.regexp_replace(collapse(text), r"([.!?]) +([A-Z(\[])", "$1\x01$2")
@@ -63,5 +79,5 @@ def location_label(page: Column, slide: Column, section: Column, sheet: Column,
 
 def injection_phrases(text: Column) -> Column:
     """Sorted distinct phrases that address the reader's instructions, in lower case."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(" + "|".join(INJECTIONS) + ")"), 1)
-    return F.array_sort(F.array_distinct(F.transform(found, lambda p: F.trim(p))))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)(" + "|".join(INJECTIONS) + ")"), 1)
+    return F.array_sort(F.array_distinct(F.transform(found, lambda p: F.lower(F.trim(p)))))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Headers that carry credentials, key shapes, wording of barriers, groups of exchangeable search terms.
+# Fixed values, equal to those whose results are matched: headers that carry credentials, key shapes, wording of barriers,
+# groups of exchangeable search terms.
 CREDENTIALS = ["authorization", "proxy-authorization", "x-api-key", "x-auth-token"]
 SECRETS = (r"(?i)(bearer\s+)[a-z0-9._\-]{8,}", r"(?i)((?:api[_-]?key|token|secret|password)\s*[=:]\s*)[^\s&\"']+", r"()\bsk-[A-Za-z0-9_\-]{10,}")
 CAPTCHA, PAYWALL, LOGIN = r"(?i)captcha|are you a robot|verify you are human|unusual traffic", r"(?i)subscribe to (?:continue|read)|this (?:article|content) is for subscribers|purchase access|paywall", r"(?i)/(?:login|signin|sign-in|sso|auth|account/login)(?:/|$)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import collapse, injection_phrases, location_label
+from docloom.functions.text import INJECTIONS, collapse, injection_phrases, location_label
 from docloom.functions.url import canonical_url, host_of, parent_domains, url_identifiers
 from docloom.operators.dedupe import fill_unknown
 from docloom.operators.selection import select_relevant
@@ -225,7 +225,7 @@ _CANON = f"""CASE WHEN lower({_URL.format('{0}', 1)}) IN ('http', 'https') AND {
  || CASE WHEN {_URL.format('{0}', 3)} = '' THEN '/' ELSE {_URL.format('{0}', 3)} END
  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split({_URL.format('{0}', 4)}, '&'), lambda p: p <> '' AND NOT regexp_full_match(lower(string_split(p, '=')[1]), '{_TRACK}'))), '&'), ''), '') END"""
 _canon = lambda c: _CANON.replace("{0}", c)
-_INJ = "ignore (all |any )?(the )?(previous|prior|above) (instructions|prompts|messages)|disregard (all |any )?(the )?(previous|prior|above|system)|forget (all |your )?(previous |prior )?instructions|you are now (a|an|the) |new (system )?instructions?:|(reveal|print|show|output) (your|the) (system prompt|instructions|api key|credentials|secrets?)|(run|execute) (the following|this) (command|code|script)|< */? *(system|assistant) *>|begin (system|admin) prompt|(disable|turn off|bypass) (the )?(safety|guardrails|rate limits?|restrictions)"
+_INJ = "(?i)" + "|".join(f"(?:{p})" for p in INJECTIONS)
 _TIERS = ", ".join(f"('{d}', {t})" for d, t in TEST_TIERS.items())
 SQL = {
     "selection_blocks": f"""WITH RECURSIVE b AS (SELECT result_id, i - 1 AS pos, blocks[i].text AS t FROM (SELECT result_id, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM handler_results)),
@@ -268,7 +268,7 @@ SELECT result_id, block_index, coalesce(nullif(concat_ws(', ', 'p.' || b.page, '
 last_value(b.section IGNORE NULLS) OVER (PARTITION BY result_id ORDER BY block_index) AS section_above, length(b.text) AS chars FROM b""",
     "result_references": """SELECT result_id, len(list_distinct(links)) AS links, len(list_distinct(refs)) AS refs,
 array_to_string(list_sort(list_distinct(list_concat(links, refs))), ' ') AS all_references FROM handler_results""",
-    "result_injections": f"""SELECT result_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(t), '{_INJ}'), lambda x: trim(x)))), '|') AS phrases, recorded FROM (
+    "result_injections": f"""SELECT result_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '{_INJ}'), lambda x: lower(trim(x))))), '|') AS phrases, recorded FROM (
 SELECT result_id, array_to_string(list_transform(blocks, lambda b: b.text), chr(10)) AS t, len(injection_phrases) AS recorded FROM handler_results)""",
     "handler_status": """SELECT handler, format, access_status, count(*) AS files, sum(size)::BIGINT AS bytes, sum(len(blocks))::BIGINT AS blocks, count(*) FILTER (WHERE len(alt_blocks) > 0) AS with_alternative
 FROM handler_results GROUP BY ALL""",

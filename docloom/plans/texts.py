@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import NOT_DONE, OWN_WORK, SIGNALS, STOP_WORDS, collapse, glued_share, sentences, signals_of, word_set
+from docloom.functions.text import NOT_DONE, OWN_WORK, REFERENCE_LIST, SIGNALS, STOP_WORDS, collapse, glued_share, sentences, signals_of, without_references, word_set
 from docloom.operators.dedupe import classify_duplicates
 from docloom.sources.payloads import abstract_of_index
 from docloom.tables import materialize, table
 
 
 def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of 20 to 400 characters with their position."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    """Sentences of 20 to 400 characters with their position, those of a list of references left out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences(without_references(F.col("text")))).alias("pos", "sentence"))
     return docs.where(F.length("sentence").between(20, 400))
 
 
@@ -96,9 +96,10 @@ def doc_label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (doc_sentences, doc_sentence_signals, doc_signal_sets, doc_token_fingerprint, doc_dedupe_class, doc_source_overlap, doc_complexity, doc_glued_share, doc_rebuilt_text, doc_exact_copies, doc_label_agreement)}
 
 _COLLAPSED = r"trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))"
+_BODY = f"regexp_split_to_array(text, '{REFERENCE_LIST}')[1],"
 _SENTENCES = rf"""
 sentences AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS sentence FROM (
-  SELECT doc_id, string_split(regexp_replace({_COLLAPSED}, '([.!?]) +([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM documents)),
+  SELECT doc_id, string_split(regexp_replace({_COLLAPSED.replace("text,", _BODY)}, '([.!?]) +([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM documents)),
 kept AS (SELECT * FROM sentences WHERE length(sentence) BETWEEN 20 AND 400)"""
 _LEXICON = " UNION ALL ".join(f"SELECT '{n}' AS signal, '{rx}' AS rx" for n, rx in SIGNALS.items())
 _HITS = rf"""{_SENTENCES},

@@ -9,13 +9,17 @@ import zipfile
 from dataclasses import dataclass
 
 # Formats by file extension.
-EXTENSIONS = {
-    "txt": "txt text log rst", "md": "md markdown", "json": "json ipynb", "xml": "xml rss atom", "code": "py r pine mq4 mq5 mqh cpp h js ts",
-    "html": "html htm xhtml", "pdf": "pdf", "docx": "docx docm", "pptx": "pptx pptm", "csv": "csv", "xlsx": "xlsx xlsm", "epub": "epub", "zip": "zip",
-    "vtt": "vtt srt", "doc": "doc", "rtf": "rtf", "odt": "odt", "ppt": "ppt", "xls": "xls", "mobi": "mobi", "azw": "azw", "azw3": "azw3",
-    "image": "png jpg jpeg webp tif tiff", "audio": "mp3 wav m4a aac flac ogg", "video": "mp4 mov mkv webm avi m4v",
+FORMAT_OF = {
+    "txt": "txt", "text": "txt", "log": "txt", "rst": "txt", "md": "md", "markdown": "md", "json": "json",
+    "ipynb": "json", "xml": "xml", "rss": "xml", "atom": "xml", "py": "code", "r": "code", "pine": "code",
+    "mq4": "code", "mq5": "code", "mqh": "code", "cpp": "code", "h": "code", "js": "code", "ts": "code",
+    "html": "html", "htm": "html", "xhtml": "html", "pdf": "pdf", "docx": "docx", "docm": "docx", "pptx": "pptx",
+    "pptm": "pptx", "csv": "csv", "xlsx": "xlsx", "xlsm": "xlsx", "epub": "epub", "zip": "zip", "vtt": "vtt",
+    "srt": "vtt", "doc": "doc", "rtf": "rtf", "odt": "odt", "ppt": "ppt", "xls": "xls", "mobi": "mobi", "azw": "azw",
+    "azw3": "azw3", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "tif": "image", "tiff": "image",
+    "mp3": "audio", "wav": "audio", "m4a": "audio", "aac": "audio", "flac": "audio", "ogg": "audio", "mp4": "video",
+    "mov": "video", "mkv": "video", "webm": "video", "avi": "video", "m4v": "video",
 }
-FORMAT_OF = {ext: fmt for fmt, exts in EXTENSIONS.items() for ext in exts.split()}
 TYPES = {"application/pdf": "pdf", "application/json": "json", "application/xml": "xml", "text/xml": "xml", "application/rss+xml": "xml", "application/atom+xml": "xml"}
 PACKAGES = (("docx", "word/document.xml"), ("pptx", "ppt/presentation.xml"), ("xlsx", "xl/workbook.xml"))
 

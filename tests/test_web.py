@@ -61,3 +61,22 @@ def test_sinks(spark, tmp_path):
     assert {r.file: r.body for r in made.collect()} == {"A b.md": "# A\\|b\n<!-- mine -->\n- **p**: x", "C.md": "# C\n<!-- mine -->\n- **q**: y"}
     there = spark.createDataFrame([("A b.md", "someone else's"), ("C.md", "old <!-- mine -->")], "file string, body string")
     assert [r.file for r in write_notes(made, there, "mine").collect()] == ["C.md"]
+
+
+def test_urls_and_identifiers(spark):
+    from docloom.functions.url import ascii_host, canonical_url, url_identifiers
+
+    pairs = [("HTTP://A.example:80/x%2fY%7e%41b?b=1&utm_source=q&a=2#f", "http://a.example/x%2FY~Ab?a=2&b=1"), ("https://a.example./%zz%e4", "https://a.example/%zz%E4"), ("ftp://a/x", None), ("http://u:p@a/x", None), ("http:///x", None), ("https://a.example", "https://a.example/"), (None, None)]
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(pairs)], "k int, u string").orderBy("k")
+    assert [r.c for r in df.select(canonical_url("u").alias("c")).collect()] == [c for _, c in pairs]
+    assert [r.h for r in spark.createDataFrame([("bücher.example",), ("a.example",), (None,)], "u string").select(ascii_host(F.col("u")).alias("h")).collect()] == ["xn--bcher-kva.example", "a.example", None]
+    ids = [("https://arxiv.org/abs/2001.01234v2", ("2001.01234", None)), ("https://www.arxiv.org/pdf/2001.01234.pdf", ("2001.01234", None)), ("https://arxiv.org/abs/q-fin/0501001v1", ("q-fin/0501001", None)), ("https://dx.doi.org/10.1/AB.", (None, "10.1/ab")), ("https://a.example/abs/2001.01234", (None, None)), (None, (None, None))]
+    got = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(ids)], "k int, u string").orderBy("k").select(url_identifiers("u").alias("i")).collect()
+    assert [(r.i.arxiv, r.i.doi) for r in got] == [i for _, i in ids]
+
+
+def test_sentences_end_before_the_references(spark):
+    from docloom.functions.text import injection_phrases, without_references
+
+    assert one(spark, without_references(F.lit("We test it.\n\n  REFERENCES  \nOthers did."))) == "We test it.\n" and one(spark, without_references(F.lit("The references are few."))) == "The references are few."
+    assert one(spark, injection_phrases(F.lit("Please place a live trade now. So I place a trade. BEGIN ADMIN PROMPT"))) == ["begin admin prompt", "please place a live trade"]
