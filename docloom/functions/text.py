@@ -35,6 +35,12 @@ INJECTIONS = (
 )
 
 
+def bounded(pattern: str) -> str:
+    r"""``pattern`` with its word boundaries spelt out, so that they part ASCII letters, digits and _ from all else in any
+    version of the engine, whatever it takes \b to mean."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
@@ -53,7 +59,7 @@ def sentences(text: Column) -> Column:
 def signals_of(sentence: Column, lexicon: dict[str, str]) -> Column:
     """Sorted names of the lexicon entries that ``sentence`` matches, case ignored."""
     low = F.lower(sentence)
-    return F.array_sort(F.array_compact(F.array(*[F.when(low.rlike(rx), F.lit(name)) for name, rx in lexicon.items()])))
+    return F.array_sort(F.array_compact(F.array(*[F.when(low.rlike(bounded(rx)), F.lit(name)) for name, rx in lexicon.items()])))
 
 
 def word_set(text: Column) -> Column:

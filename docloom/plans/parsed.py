@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.columns import read_pages
 from docloom.sources.captions import caption_lines, paragraphs
 from docloom.sources.files import parse_files, parse_source_list
 from docloom.sources.formats import detect_format
-from docloom.sources.payloads import extend_feed, feed_entries, items, repositories, sitemap_urls, web_results, works
+from docloom.sources.payloads import extend_feed, feed_entries, items, repositories, sitemap_urls, uploads_to_read, videos, web_results, works
 from docloom.tables import table
 
 
@@ -206,10 +207,37 @@ def parsed_source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_source_list(lines).select(F.col("line").alias("source_id"), "kind", "target", "title")
 
 
-QUERIES = {q.__name__: q for q in (parsed_works, parsed_items, parsed_repositories, parsed_web_results, parsed_feed, parsed_sitemaps, feed_and_sitemap, parsed_html, parsed_markdown, parsed_csv, parsed_packages, parsed_captions, detected_formats, parsed_source_list)}
+def parsed_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources sent by a video service."""
+    item = F.struct(F.concat(F.lit("v"), "source_id").alias("id"), F.struct(F.concat(F.lit(" Talk  "), "source_id").alias("title"), F.nullif("organization", F.lit("UNKNOWN")).alias("channelTitle"), F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"), F.col("license").alias("description")).alias("snippet"), F.struct(F.lit("PT9M").alias("duration")).alias("contentDetails"))
+    got = videos(table(spark, sf_dir, "sources").select(F.to_json(F.struct(F.array(item).alias("items"))).alias("payload")))
+    return got.select("title", F.col("publication_date").alias("stated"), "url", F.col("ids")["youtube"].alias("video"), F.size("authors").cast("long").alias("names"))
+
+
+def channel_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest uploads of each host that have no parsed result yet."""
+    listed = table(spark, sf_dir, "sources").select(F.regexp_extract("canonical_url", "^[a-z]+://([^/?#]+)", 1).alias("channel"), F.col("source_id").alias("video"), (-F.col("source_id")).alias("place"))
+    return uploads_to_read(listed, table(spark, sf_dir, "handler_results").select(F.col("source_id").alias("video")), 3).select("channel", "video", F.col("rank").cast("long").alias("rank"))
+
+
+def columns_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each customer set in two columns of a page, and read one column after the other."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    doubled = F.flatten(F.array(*["keys"] * 40))
+    half = F.ceil(F.size(doubled) / 2)
+    words = F.transform(doubled, lambda k, i: F.struct(k.cast("string").alias("text"), F.when(i < half, 50.0).otherwise(320.0).alias("x0"), F.when(i < half, 200.0).otherwise(470.0).alias("x1"), (10.0 * F.when(i < half, i).otherwise(i - half) + F.when(i < half, 0.0).otherwise(1.0)).cast("double").alias("top")))
+    # The words come line by line, as a page is printed.
+    got = read_pages(orders.select("page_id", F.lit(600.0).alias("width"), F.array_sort(words, lambda a, b: F.when(a["top"] < b["top"], -1).when(a["top"] > b["top"], 1).otherwise(0)).alias("words")))
+    return got.select(F.col("page_id").alias("custkey"), "gutter", F.md5("text").alias("text_hash"))
+
+
+QUERIES = {q.__name__: q for q in (parsed_videos, channel_uploads, columns_read, parsed_works, parsed_items, parsed_repositories, parsed_web_results, parsed_feed, parsed_sitemaps, feed_and_sitemap, parsed_html, parsed_markdown, parsed_csv, parsed_packages, parsed_captions, detected_formats, parsed_source_list)}
 _HOST = "regexp_extract(canonical_url, '^[a-z]+://([^/?#]+)', 1)"
 _LINES = "SELECT o_custkey AS custkey, list(o_orderkey ORDER BY o_orderkey) AS keys FROM orders GROUP BY 1"
 SQL = {
+    "parsed_videos": "SELECT 'Talk ' || source_id AS title, coalesce(strftime(retrieved_at, '%Y-%m-%d'), 'UNKNOWN') AS stated, 'https://www.youtube.com/watch?v=v' || source_id AS url, 'v' || source_id AS video, CASE WHEN organization IS NULL OR trim(organization) IN ('', 'UNKNOWN') THEN 0 ELSE 1 END AS names FROM sources",
+    "channel_uploads": f"""SELECT * FROM (SELECT {_HOST} AS channel, source_id AS video, row_number() OVER (PARTITION BY {_HOST} ORDER BY source_id DESC) AS rank FROM sources WHERE source_id NOT IN (SELECT source_id FROM handler_results)) WHERE rank <= 3""",
+    "columns_read": f"SELECT custkey, 260.0 AS gutter, md5(array_to_string(flatten(list_transform(range(40), lambda i: keys)), chr(10))) AS text_hash FROM ({_LINES})",
     "parsed_works": r"""SELECT 'W' || candidate_id AS work, coalesce(len(list_filter(authors, lambda a: a IS NOT NULL)), 0) AS names, coalesce(publication_date, '') AS stated, coalesce(url, 'https://doi.org/' || ids['doi'], 'https://works.example/W' || candidate_id) AS url,
 md5(coalesce(trim(regexp_replace(abstract, '[ \t\r\n]+', ' ', 'g')), '')) AS abstract_hash, lower(ids['doi']) AS doi FROM candidates WHERE title IS NOT NULL""",
     "parsed_items": """SELECT '10.5/' || candidate_id AS doi, array_to_string(authors, '; ') AS names, CASE WHEN regexp_matches(publication_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN publication_date ELSE '' END AS stated, url, venue, work_type FROM candidates WHERE title IS NOT NULL""",

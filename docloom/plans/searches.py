@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.classify import ASSET_WORDS, FILLER, FINANCE_WORDS, MODES, RED_FLAGS, REGIME_WORDS, about_finance, official_api, red_flags, request_parts
 from docloom.functions.url import host_of
 from docloom.functions.web import access_barrier, markdown, query_hash, query_key, redacted, request_class, safe_name, title_of_url
 from docloom.operators.search import follow_up_queries, reading_order, title_search
@@ -61,14 +62,42 @@ def source_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "sources").select("source_id", markdown(F.col("title")).alias("heading"), safe_name(F.col("title")).alias("file"), redacted(F.col("author")).alias("author"))
 
 
-QUERIES = {q.__name__: q for q in (title_search_top, next_searches, query_hashes, reading_list, page_access, url_titles, source_notes)}
+def document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the promises that they make, and whether they are about finance at all."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(red_flags(F.col("text")), ",").alias("flags"), about_finance(F.col("text")).alias("finance"))
+    return d.groupBy("flags", "finance").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+def request_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of sources as requests: what they ask for, and what is left without filling words."""
+    s = table(spark, sf_dir, "sources").where("title IS NOT NULL").select("source_id", request_parts(F.col("title")).alias("r"))
+    return s.select("source_id", F.array_join("r.assets", ",").alias("assets"), F.array_join("r.regimes", ",").alias("regimes"), "r.mode", "r.core")
+
+
+def listed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for candidates that go to listed addresses of the test sites."""
+    path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    hit = official_api(host_of("url"), path, [("www.northbrief.invalid", "/")], [("www.riverbrief.example", "/abs/"), ("blog.meadowgazette.example", "/p/")])
+    return table(spark, sf_dir, "candidates").groupBy(hit.alias("listed")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {q.__name__: q for q in (document_flags, request_specs, listed_requests, title_search_top, next_searches, query_hashes, reading_list, page_access, url_titles, source_notes)}
 _STOP = "'the','a','an','of','and','or','with','on','in','to','for','by','is','are','when','if','its','their','than','that','each','at','be'"
 _W = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})))"
 _ASKED = ", ".join(f"('{s}')" for s in SEARCHES)
 _HOST = r"nullif(regexp_replace(regexp_extract(lower(trim(canonical_url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\.$', ''), '')"
 _KEY = lambda c: f"array_to_string(regexp_extract_all(lower({c}), '[a-z0-9]+'), ' ')"
 _TEMPLATES = ", ".join(f"({k}, '{t}')" for k, t in enumerate(TEMPLATES))
+_FLAGS = " UNION ALL ".join(f"SELECT '{n}' AS flag, '{rx}' AS rx" for n, rx in RED_FLAGS.items())
+_LISTED = lambda words: "array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(lower(title), '{rx}') THEN '{n}' END" for n, rx in words.items()) + "] IF x IS NOT NULL], ',')"
+_BARE = r"regexp_replace({0}, '(?i)([^\w-])(?:" + FILLER + r")([^\w-])', '\1 \2', 'g')"
 SQL = {
+    "document_flags": f"""WITH f AS ({_FLAGS}), h AS (SELECT doc_id, string_agg(flag, ',' ORDER BY flag) AS flags FROM documents, f WHERE regexp_matches(lower(coalesce(text, '')), rx) GROUP BY 1)
+SELECT coalesce(flags, '') AS flags, regexp_matches(lower(coalesce(text, '')), '{FINANCE_WORDS}') AS finance, count(*) AS n, min(doc_id) AS first_id FROM documents LEFT JOIN h USING (doc_id) GROUP BY 1, 2""",
+    "request_specs": f"""SELECT source_id, {_LISTED(ASSET_WORDS)} AS assets, {_LISTED(REGIME_WORDS)} AS regimes, coalesce({", ".join(f"CASE WHEN regexp_matches(lower(title), '{rx}') THEN '{n}' END" for n, rx in MODES.items())}, 'QUICK_DISCOVERY') AS mode,
+trim(regexp_replace({_BARE.format(_BARE.format("' ' || title || ' '"))}, '\\s+', ' ', 'g')) AS core FROM sources WHERE title IS NOT NULL""",
+    "listed_requests": r"""WITH c AS (SELECT regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS h, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p FROM candidates)
+SELECT coalesce((h = 'www.northbrief.invalid' AND p = '/') OR (h = 'www.riverbrief.example' AND starts_with(p, '/abs/')) OR (h = 'blog.meadowgazette.example' AND starts_with(p, '/p/')), false) AS listed, count(*) AS n FROM c GROUP BY 1""",
     "title_search_top": f"""WITH q AS (SELECT query, unnest({_W('query')}) AS word, len({_W('query')}) AS n FROM (VALUES {_ASKED}) v(query)), i AS (SELECT source_id AS item_id, unnest({_W('title')}) AS word FROM sources),
 h AS (SELECT query, n, item_id, count(DISTINCT word) AS hits FROM q JOIN i USING (word) GROUP BY ALL HAVING count(DISTINCT word) >= least(2, n))
 SELECT query, item_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, item_id) AS k FROM h) WHERE k <= 10""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import NOT_DONE, OWN_WORK, REFERENCE_LIST, SIGNALS, STOP_WORDS, collapse, glued_share, sentences, signals_of, without_references, word_set
+from docloom.functions.text import NOT_DONE, OWN_WORK, REFERENCE_LIST, SIGNALS, STOP_WORDS, bounded, collapse, glued_share, sentences, signals_of, without_references, word_set
 from docloom.operators.dedupe import classify_duplicates
 from docloom.sources.payloads import abstract_of_index
 from docloom.tables import materialize, table
@@ -19,7 +19,7 @@ def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_sentence_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three sentences of each signal in which a document speaks of its own work."""
-    own = doc_sentences(spark, sf_dir).where(F.lower("sentence").rlike(OWN_WORK) & ~F.lower("sentence").rlike(NOT_DONE))
+    own = doc_sentences(spark, sf_dir).where(F.lower("sentence").rlike(bounded(OWN_WORK)) & ~F.lower("sentence").rlike(bounded(NOT_DONE)))
     hits = own.select("doc_id", "pos", "sentence", F.explode(signals_of(F.col("sentence"), SIGNALS)).alias("signal"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "signal").orderBy("pos"))
     return hits.withColumn("rank", rank).where("rank <= 3").select("doc_id", "signal", F.col("rank").cast("long").alias("rank"), "sentence")

@@ -8,7 +8,7 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATE = "title:string,authors:array<string>,publication_date:string,url:string,pdf_url:string,abstract:string,venue:string,work_type:string,ids:map<string,string>"
@@ -157,3 +157,22 @@ def extend_feed(feed: DataFrame, sitemap: DataFrame) -> DataFrame:
     """Feed urls, and those of the sitemap that the feed lacks and whose title has two words or more."""
     more = sitemap.where("NOT nested AND size(split(title, ' ')) >= 2").join(feed.select("url"), "url", "left_anti")
     return feed.select("url", "title").unionByName(more.select("url", "title"))
+
+
+def videos(payloads: DataFrame) -> DataFrame:
+    """Candidates of a video service (column payload: JSON with items[]); descriptions stay as written, so that links survive."""
+    schema = "items array<struct<id:string,snippet:struct<title:string,channelTitle:string,publishedAt:string,description:string>,contentDetails:struct<duration:string>>>"
+    w = payloads.select(F.explode(F.from_json("payload", schema)["items"]).alias("w")).where("w.id <> ''")
+    channel, known = F.nullif(clean(F.col("w.snippet.channelTitle")), F.lit("")), lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("UNKNOWN"))
+    return w.select(
+        F.lit("youtube").alias("connector"), known(clean(F.col("w.snippet.title"))).alias("title"), F.array_compact(F.array(channel)).alias("authors"), known(F.substring("w.snippet.publishedAt", 1, 10)).alias("publication_date"),
+        F.concat(F.lit("https://www.youtube.com/watch?v="), "w.id").alias("url"), F.lit(None).cast("string").alias("pdf_url"), F.nullif(F.trim("w.snippet.description"), F.lit("")).alias("abstract"), F.coalesce(F.concat(F.lit("YouTube: "), channel), F.lit("YouTube")).alias("venue"),
+        F.lit("video").alias("work_type"), _ids(youtube=F.col("w.id"), duration=F.col("w.contentDetails.duration")).alias("ids"),
+    )
+
+
+def uploads_to_read(listed: DataFrame, read: DataFrame, n: int) -> DataFrame:
+    """The newest ``n`` uploads of each channel that were not read: listed (channel, video, place), read (video)."""
+    rank = F.row_number().over(Window.partitionBy("channel").orderBy("place"))
+    first = listed.groupBy("channel", "video").agg(F.min("place").alias("place"))
+    return first.join(read.select("video").distinct(), "video", "left_anti").withColumn("rank", rank).where(F.col("rank") <= n).select("channel", "video", "rank")
