@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import once
+
 # Blocks taken whatever they say, characters that a further block's label costs, and the length at which a
 # block's keywords count half.
 KEPT_FIRST, LABEL_CHARS, HALF_LENGTH = 2, 16, 2000
@@ -25,6 +27,10 @@ def chosen_blocks(texts: Column, keywords: list[str], budget: int) -> Column:
     some = F.coalesce(texts, F.array().cast("array<string>"))
     solid = F.filter(F.transform(some, lambda t, i: F.struct(i.alias("at"), t.alias("text"))), lambda b: F.trim(F.regexp_replace(b["text"], r"\s+", " ")) != "")
     sized = F.transform(solid, lambda b: F.struct(b["at"].alias("at"), F.length(b["text"]).alias("chars"), keyword_hits(b["text"], keywords).alias("hits")))
+    return once(sized, lambda blocks: _fold(blocks, budget))
+
+
+def _fold(sized: Column, budget: int) -> Column:
     first = F.slice(sized, 1, KEPT_FIRST)
     rest = F.filter(F.slice(sized, KEPT_FIRST + 1, 1 << 30), lambda b: b["hits"] > 0)
     ranked = F.array_sort(F.transform(rest, lambda b: F.struct((-b["hits"] * HALF_LENGTH / (HALF_LENGTH + b["chars"])).alias("rank"), b["at"].alias("at"), b["chars"].alias("chars"))))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.text import collapse, sentences
+from docloom.functions.text import collapse, once, sentences
 from docloom.operators.answers import ground_values
 from docloom.operators.grounding import ground_quotes
 from docloom.tables import table
@@ -23,11 +21,6 @@ def selection_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.join(texts, "result_id").select(F.col("result_id").alias("text_id"), "text", "quotes")
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once a row, also where ``use`` refers to it inside a loop over an array."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def quotes_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes that occur word for word, blanks collapsed and case ignored."""
     check = lambda text: F.transform("quotes", lambda x: F.struct(x["quote_id"].alias("quote_id"), text.contains(F.lower(collapse(x["quote"]))).alias("found")))
