@@ -223,11 +223,14 @@ def channel_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def columns_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of each customer set in two columns of a page, and read one column after the other."""
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
-    doubled = F.flatten(F.array(*["keys"] * 40))
-    half = F.ceil(F.size(doubled) / 2)
-    words = F.transform(doubled, lambda k, i: F.struct(k.cast("string").alias("text"), F.when(i < half, 50.0).otherwise(320.0).alias("x0"), F.when(i < half, 200.0).otherwise(470.0).alias("x1"), (10.0 * F.when(i < half, i).otherwise(i - half) + F.when(i < half, 0.0).otherwise(1.0)).cast("double").alias("top")))
-    # The words come line by line, as a page is printed.
-    got = read_pages(orders.select("page_id", F.lit(600.0).alias("width"), F.array_sort(words, lambda a, b: F.when(a["top"] < b["top"], -1).when(a["top"] > b["top"], 1).otherwise(0)).alias("words")))
+    # 20 times the keys in either column, so a line holds the same key on both sides. The words come line by line, as a page is
+    # printed, and are put together from whole arrays: a function of each word would cost more than reading it.
+    lines = 20 * F.size("keys")
+    each = lambda a: F.flatten(F.array_repeat(a, lines))
+    text = F.flatten(F.array_repeat(F.flatten(F.transform("keys", lambda k: F.array_repeat(k.cast("string"), 2))), 20))
+    top = F.flatten(F.transform(F.sequence(F.lit(0), lines - 1), lambda i: F.array(10.0 * i, 10.0 * i + 1.0)))
+    words = F.arrays_zip(text.alias("text"), each(F.array(F.lit(50.0), F.lit(320.0))).alias("x0"), each(F.array(F.lit(200.0), F.lit(470.0))).alias("x1"), top.alias("top"))
+    got = read_pages(orders.select("page_id", F.lit(600.0).alias("width"), words.alias("words")))
     return got.select(F.col("page_id").alias("custkey"), "gutter", F.md5("text").alias("text_hash"))
 
 
